@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies
+from inkstream.llm import format_copies, garbling
 from inkstream.sources.tables import spread, table
 
 
@@ -18,7 +19,36 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies.copies(table(spark, sf_dir, "bib_entries"), "bib_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies}
+def _pair_model(spark: SparkSession, sf_dir: str) -> garbling.PairModel:
+    """Pair statistics of all documents, whose texts are the corpus."""
+    return garbling.PairModel.fit(spread(table(spark, sf_dir, "documents").select("text")), "text")
+
+
+def _text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "nodes").where("kind = 'text'").select("node_uid", "content", "parsed_at"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text nodes with garbled content."""
+    return garbling.garbled(_text_nodes(spark, sf_dir), "node_uid", "content", _pair_model(spark, sf_dir)).select("node_uid").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each garbled text node with its text restored as far as possible, and the encodings its runs declared."""
+    nodes = table(spark, sf_dir, "nodes").where("kind = 'text'")
+    found = garbling.garbled(_text_nodes(spark, sf_dir), "node_uid", "content", _pair_model(spark, sf_dir))
+    found = found.groupBy("node_uid").agg(F.max(F.struct("original", "restored", "complete")).alias("r"))
+    declared = table(spark, sf_dir, "proc_contexts").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("encoding")))).alias("declared"))
+    docs = nodes.select("node_uid", "doc_id").distinct()
+    return found.join(docs, "node_uid").join(declared, "doc_id", "left").select("node_uid", "r.original", "r.restored", "r.complete", "declared")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_copies": p1_copies,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+}
 
 _P1 = """WITH c AS (SELECT bib_id, {canon} FROM bib_entries),
 g AS (SELECT DISTINCT bib_id, min(bib_id) OVER (PARTITION BY title, author, year, doi) AS first_bib_id FROM c)
