@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling
+from inkstream.llm import format_copies, garbling, lookalikes
 from inkstream.sources.tables import spread, table
 
 
@@ -43,9 +43,32 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(docs, "node_uid").join(declared, "doc_id", "left").select("node_uid", "r.original", "r.restored", "r.complete", "declared")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, text nodes and names with characters that look like, or hide behind, the ordinary ones."""
+    model = spark.sparkContext.broadcast(_pair_model(spark, sf_dir))
+    titles = spread(table(spark, sf_dir, "doc_metadata").select("meta_id", "title"))
+    names = spread(table(spark, sf_dir, "author_infos").select("author_id", "name"))
+    return (
+        lookalikes.variants(titles, "meta_id", "title", "doc_metadata.title")
+        .unionByName(lookalikes.variants(_text_nodes(spark, sf_dir), "node_uid", "content", "nodes.content", restorer=model))
+        .unionByName(lookalikes.variants(names, "author_id", "name", "author_infos.name", name=True))
+    )
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form and the comparison key of every title, text node and name."""
+    return (
+        lookalikes.normalised(spread(table(spark, sf_dir, "doc_metadata").select("meta_id", "title")), "meta_id", "title", "doc_metadata.title")
+        .unionByName(lookalikes.normalised(_text_nodes(spark, sf_dir), "node_uid", "content", "nodes.content"))
+        .unionByName(lookalikes.normalised(spread(table(spark, sf_dir, "author_infos").select("author_id", "name")), "author_id", "name", "author_infos.name", name=True))
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
 }
