@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling, lookalikes
+from inkstream.llm import format_copies, garbling, lookalikes, shared_spans
 from inkstream.sources.tables import spread, table
 
 
@@ -64,6 +64,16 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a string of 200 or more characters in common."""
+    return shared_spans.linked_pairs(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared with others."""
+    return shared_spans.shared_amounts(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
@@ -71,6 +81,8 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p10_found": p10_found,
+    "p10_shared": p10_shared,
 }
 
 _P1 = """WITH c AS (SELECT bib_id, {canon} FROM bib_entries),
