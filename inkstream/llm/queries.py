@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling, lookalikes, shared_spans
+from inkstream.llm import format_copies, garbling, languages, lookalikes, shared_spans
 from inkstream.sources.tables import spread, table
 
 
@@ -64,6 +64,35 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing or wrong labels with the right language, and the languages of mixed text nodes."""
+    model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    detected = languages.document_languages(spread(docs.select("doc_id", "text")), "doc_id", "text", model)
+    # labels of documents and of their metadata are gathered first, so that texts are classified once
+    meta = table(spark, sf_dir, "doc_metadata").select("doc_id", F.lit("doc_metadata.lang").alias("field"), F.col("meta_id").alias("row_id"), languages.label(F.col("lang")).alias("named"))
+    labels = docs.select("doc_id", F.lit("documents.lang").alias("field"), F.col("doc_id").alias("row_id"), languages.label(F.col("lang")).alias("named")).unionByName(meta)
+    by_doc = labels.join(detected.where("detected is not null"), "doc_id").where("named is null or named <> detected").select("field", "row_id", F.col("detected").alias("lang"))
+    bib = spread(table(spark, sf_dir, "bib_entries").select("bib_id", "title", "language"))
+    titles = languages.short_text_languages(bib.select(F.struct("bib_id", "language").alias("k"), "title"), "k", "title", model)
+    named = languages.label(F.col("k.language"))
+    by_title = titles.where(F.col("detected").isNotNull() & (named.isNull() | (named != F.col("detected")))).select(F.lit("bib_entries.language").alias("field"), F.col("k.bib_id").alias("row_id"), F.col("detected").alias("lang"))
+    nodes = languages.mixed_segments(_text_nodes(spark, sf_dir), "node_uid", "content", model).select(F.lit("nodes.content").alias("field"), F.col("node_uid").alias("row_id"), "lang")
+    return by_doc.unionByName(by_title).unionByName(nodes).distinct()
+
+
+def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with a confidence."""
+    model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
+    return languages.document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", model)
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of the sentences of mixed text nodes, with a confidence."""
+    model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
+    return languages.mixed_segments(_text_nodes(spark, sf_dir), "node_uid", "content", model).distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a string of 200 or more characters in common."""
     return shared_spans.linked_pairs(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
@@ -81,6 +110,9 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p7_found": p7_found,
+    "p7_languages": p7_languages,
+    "p7_segments": p7_segments,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
 }
