@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling, languages, lookalikes, shared_spans
+from inkstream.llm import format_copies, garbling, languages, lookalikes, mixing, packing, shared_spans, staging, tokens
 from inkstream.sources.tables import spread, table
 
 
@@ -93,6 +93,43 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.mixed_segments(_text_nodes(spark, sf_dir), "node_uid", "content", model).distinct()
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, written once: the tokenizer runs over each text one time."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return staging.written(tokens.sizes(docs, "doc_id", "text", also=("source",)))
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    rows = table(spark, sf_dir, "pack_specs").where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").collect()
+    return sorted((int(a), int(b)) for a, b in rows)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, float, int]]:
+    return [tuple(r) for r in table(spark, sf_dir, "mix_targets").select("mix_id", "source", "target_share", "max_repeats").collect()]
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of its pieces, for each capacity."""
+    return packing.pack(_sizes(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, their lower bound and the unused share for each capacity."""
+    specs = _specs(spark, sf_dir)
+    return packing.report(packing.pack(_sizes(spark, sf_dir), specs), specs)
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents of each mix in reading order."""
+    return mixing.mix(_sizes(spark, sf_dir), _targets(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = _targets(spark, sf_dir)
+    return mixing.shares(mixing.mix(_sizes(spark, sf_dir), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a string of 200 or more characters in common."""
     return shared_spans.linked_pairs(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
@@ -113,6 +150,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_languages": p7_languages,
     "p7_segments": p7_segments,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_mixed": p9_mixed,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
 }
