@@ -17,6 +17,8 @@ from inkstream.llm.staging import written
 
 #: Documents of a source or stretch of the time line that one task orders, on average.
 TASK_ROWS = 20_000
+#: Documents that close the gap between a source's whole documents in order and its quota, at most.
+CLOSERS = 4
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
     ``targets`` are the rows of a fixed table. Position counts a mixture's rows
     from 0 in the order they are to be read. A source is drawn in whole passes
     in a pseudo-random order, then from the start of that order as long as whole
-    documents fit in its quota, and then by the one document that comes closest
+    documents fit in its quota, and then by the few documents that come closest
     to what is left.
     """
     spark = sizes.sparkSession
@@ -88,19 +90,33 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
 
 
 def _closers(drawn: DataFrame, quotas: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str, int, int, int, int]]:
-    """For each target the one more document that brings its source closest to the quota, if any brings it closer.
+    """For each target up to CLOSERS more documents that bring its source closer to the quota.
 
-    It is chosen among the documents that the last pass hasn't reached; ties
-    go to the smaller doc_id. Both results have a row for each target of the
-    fixed table.
+    Each is the one that comes closest to what is left, among the documents
+    that the last pass hasn't reached; ties go to the smaller doc_id. All
+    results have a row for each target of the fixed table.
     """
-    done = {(r["mix_id"], r["source"]): r["t"] for r in drawn.groupBy("mix_id", "source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t")).collect()}
-    gaps = [(int(m), s, int(q - done.get((m, s), 0))) for m, s, _, q, _ in quotas]
     spark = drawn.sparkSession
-    missing = F.broadcast(spark.createDataFrame(gaps, "mix_id bigint, source string, gap bigint"))
-    left = drawn.join(missing, ["mix_id", "source"]).where("gap > 0 and abs(tokens - gap) < gap and n = floor(quota / total)")
-    best = left.groupBy("mix_id", "source", "gap", "quota").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), "doc_id", "n", "tokens")).alias("b"))
-    return [(r["mix_id"], r["source"], r["b"]["doc_id"], r["b"]["n"], r["b"]["tokens"], r["quota"] - r["gap"]) for r in best.collect()]
+    done = {(r["mix_id"], r["source"]): r["t"] for r in drawn.groupBy("mix_id", "source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t")).collect()}
+    gaps = {(int(m), s): int(q - done.get((m, s), 0)) for m, s, _, q, _ in quotas}
+    out: list[tuple[int, str, int, int, int, int]] = []
+    for _ in range(CLOSERS):
+        open_ = [(m, s, g) for (m, s), g in gaps.items() if g > 0]
+        if not open_:
+            break
+        left = drawn.join(F.broadcast(spark.createDataFrame(open_, "mix_id bigint, source string, gap bigint")), ["mix_id", "source"])
+        left = left.where("abs(tokens - gap) < gap and n = floor(quota / total)")
+        if out:
+            taken = spark.createDataFrame([r[:3] for r in out], "mix_id bigint, source string, doc_id bigint")
+            left = left.join(F.broadcast(taken), ["mix_id", "source", "doc_id"], "left_anti")
+        best = left.groupBy("mix_id", "source", "quota").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), "doc_id", "n", "tokens")).alias("b")).collect()
+        if not best:
+            break
+        for r in best:
+            key = (r["mix_id"], r["source"])
+            out.append((*key, r["b"]["doc_id"], r["b"]["n"], r["b"]["tokens"], r["quota"] - gaps[key]))
+            gaps[key] -= r["b"]["tokens"]
+    return out
 
 
 def shares(mixed: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFrame:
