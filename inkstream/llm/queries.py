@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling, languages, lookalikes, mixing, packing, shared_spans, staging, tokens
+from inkstream.llm import format_copies, garbling, languages, lookalikes, markup, mixing, packing, shared_spans, staging, tokens
 from inkstream.sources.tables import spread, table
 
 
@@ -64,6 +64,28 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str]]:
+    """(rows, key, text, field) of every table that holds markup."""
+    bodies = table(spark, sf_dir, "nodes").where((F.col("kind") == "environment") & ~F.coalesce(F.col("name"), F.lit("")).isin(*markup.OPAQUE_ENVIRONMENTS))
+    return [
+        (_text_nodes(spark, sf_dir), "node_uid", "content", "nodes.content"),
+        (spread(bodies.select("node_uid", "body")), "node_uid", "body", "nodes.body"),
+        (spread(table(spark, sf_dir, "chapters").select("chapter_id", "mdx_content")), "chapter_id", "mdx_content", "chapters.mdx_content"),
+    ]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of markup in text nodes, environment bodies and chapters."""
+    a, b, c = (markup.markup_kinds(*x) for x in _marked_up(spark, sf_dir))
+    return a.unionByName(b).unionByName(c)
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values as clean text."""
+    a, b, c = (markup.cleaned(*x) for x in _marked_up(spark, sf_dir))
+    return a.unionByName(b).unionByName(c)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing or wrong labels with the right language, and the languages of mixed text nodes."""
     model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
@@ -147,6 +169,8 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p7_found": p7_found,
     "p7_languages": p7_languages,
     "p7_segments": p7_segments,
