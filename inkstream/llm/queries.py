@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import format_copies, garbling, languages, lookalikes, markup, mixing, packing, shared_spans, staging, tokens
+from inkstream.llm import format_copies, garbling, languages, lookalikes, markup, mixing, names, packing, shared_spans, staging, tokens
 from inkstream.sources.tables import spread, table
 
 
@@ -64,6 +64,26 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, names.GivenNames]:
+    """Rows (mention, name, contact): persons and organisations named in author_infos and in entries with one author."""
+    people = table(spark, sf_dir, "author_infos").select(F.concat(F.lit("a"), "author_id").alias("mention"), "name", "name_en", F.regexp_extract(F.lower("email"), r"^\s*([^@\s]+)@", 1).alias("contact"))
+    people = people.withColumn("contact", F.when(F.col("contact") != "", F.col("contact"))).withColumn("name", F.explode(F.array("name", "name_en"))).drop("name_en")
+    people = people.where("name is not null and trim(name) <> ''")
+    entries = names.single_authors(spread(table(spark, sf_dir, "bib_entries").select("bib_id", "author")))
+    rows = table(spark, sf_dir, "given_names").orderBy("name_id").select("given", "short_form", "latin_form").limit(20_000).collect()
+    return people.unionByName(entries.withColumn("contact", F.lit(None).cast("string"))), names.GivenNames([tuple(r) for r in rows])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of mentions of one person or organisation."""
+    return names.pairs(names.linked(*_mentions(spark, sf_dir)))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every mention."""
+    return names.linked(*_mentions(spark, sf_dir))
+
+
 def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str]]:
     """(rows, key, text, field) of every table that holds markup."""
     bodies = table(spark, sf_dir, "nodes").where((F.col("kind") == "environment") & ~F.coalesce(F.col("name"), F.lit("")).isin(*markup.OPAQUE_ENVIRONMENTS))
@@ -169,6 +189,8 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
