@@ -313,8 +313,9 @@ def linked(mentions: DataFrame, givens: GivenNames) -> DataFrame:
     resolved = _by_initial(short.select("family", "initial").distinct(), rooted.where("kind = 'p'"), givens)
     hubs = hub.join(rooted.select(F.col("key").alias("hub"), "entity"), "hub").select("contact", F.col("entity").alias("by_contact"))
     contacts = contact.join(hubs, "contact").groupBy("mention").agg(F.min("by_contact").alias("by_contact"))
-    own = F.coalesce("by_contact", "by_name", F.concat_ws("|", F.lit("i"), "family", "initial"))
-    rest = short.join(contacts, "mention", "left").join(resolved, ["family", "initial"], "left").select("mention", own.alias("entity")).groupBy("mention").agg(F.min("entity").alias("entity"))
+    own = F.concat_ws("|", F.lit("i"), "family", "initial")
+    rest = short.join(contacts, "mention", "left").join(resolved, ["family", "initial"], "left")
+    rest = rest.groupBy("mention").agg(F.coalesce(F.min("by_contact"), F.min("by_name"), F.min(own)).alias("entity"))
     return named.unionByName(rest)
 
 
