@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.plans import problems
+from inkstream.plans import detection, problems
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (problems,)
+_MODULES = (problems, detection)
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    return queries()["language_profile"](spark, sf_dir)
