@@ -263,8 +263,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     shared folder. Ends when no label changes; components of depth 2**rounds
     would be needed to end early.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).where("node <> next").distinct()
-    both = written(both)
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))
+    both = written(edges.where("a <> b").select(F.inline(ways)).distinct())
     label = written(both.groupBy("node").agg(F.min("next").alias("m")).select("node", F.least("node", "m").alias("root")))
     for _ in range(rounds):
         seen = both.join(label.select(F.col("node").alias("next"), "root"), "next").groupBy("node").agg(F.min("root").alias("m"))
@@ -323,29 +323,29 @@ def _by_initial(short: DataFrame, rooted: DataFrame, givens: GivenNames) -> Data
     """(family, initial, by_name): the only entity of the family, or of one a slip apart, that the initial fits."""
     initials = sorted({f[0] for f in givens.forms})
     pairs = [(i, g) for i in initials for g in sorted(givens.starting(i))]
+    table_names = sorted({g for _, g in pairs})
     spark = short.sparkSession
     fits = F.broadcast(spark.createDataFrame(pairs, "initial string, given string"))  # bounded by the table of given names
-    table_names = {g for _, g in pairs}
-    members = rooted.select("family", "given", "entity").distinct()
-    exact = short.join(members, "family").join(fits, ["initial", "given"], "left_semi")
-    other = short.join(members.where(~F.col("given").isin(*table_names)), "family").where((F.col("initial") != "") & F.col("given").startswith(F.col("initial")))
-    bare = short.where("initial = ''").join(members, "family")
-    cols = ["family", "initial", "entity"]
-    found = exact.select(cols).unionByName(other.select(cols)).unionByName(bare.select(cols)).distinct()
-    found = found.groupBy("family", "initial").agg(F.count("*").alias("n"), F.min("entity").alias("by_name"))
+    members = rooted.select("family", "given", "entity")
+    # every member under each initial that fits its given name, and under none
+    known = members.join(fits, "given").select("family", "initial", "entity")
+    other = members.select("family", F.explode(F.when(F.col("given").isin(*table_names), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.substring("given", 1, 1)))).alias("initial"), "entity")
+    fitting = written(known.unionByName(other).groupBy("family", "initial").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("by_name")))
+    found = written(short.join(fitting, ["family", "initial"], "left"))
+    done = found.where("n = 1").select("family", "initial", "by_name")
     # a slip in the family of a name with an initial: compare with the families of the same initial
-    open_ = short.join(found, ["family", "initial"], "left_anti").where("initial <> ''")
-    shorts = open_.select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given"))
-    wide = members.join(fits, "given").select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given")).distinct()
-    near = near_families(shorts.unionByName(wide).distinct())
-    near = near.select("family", "other", F.col("given").alias("initial")).union(near.select("other", "family", "given"))
-    far = near.join(open_, ["family", "initial"], "left_semi").withColumnRenamed("family", "short").withColumnRenamed("other", "family")
-    far = far.join(members, "family").join(fits, ["initial", "given"], "left_semi").select(F.col("short").alias("family"), "initial", "entity").distinct()
-    far = far.groupBy("family", "initial").agg(F.count("*").alias("n"), F.min("entity").alias("by_name"))
-    return found.unionByName(far).where("n = 1").select("family", "initial", "by_name")
+    open_ = found.where("n is null and initial <> ''").select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given"))
+    wide = fitting.where("initial <> ''").select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given"))
+    near = near_families(open_.unionByName(wide))
+    ways = F.array(F.struct(F.col("family").alias("short"), F.col("other").alias("family")), F.struct(F.col("other").alias("short"), F.col("family").alias("family")))
+    near = near.select(F.inline(ways), F.col("given").alias("initial")).join(fitting, ["family", "initial"])
+    near = near.groupBy(F.col("short").alias("family"), "initial").agg(F.max("n").alias("n"), F.min("by_name").alias("by_name"), F.max("by_name").alias("last"))
+    near = near.join(open_.select("family", F.col("given").alias("initial")), ["family", "initial"], "left_semi")
+    return done.unionByName(near.where("n = 1 and by_name = last").select("family", "initial", "by_name"))
 
 
 def pairs(members: DataFrame) -> DataFrame:
     """(key_a, key_b): every pair of mentions of one entity, the smaller string first."""
+    members = written(members)
     a, b = members.withColumnRenamed("mention", "key_a"), members.withColumnRenamed("mention", "key_b")
     return a.join(b, "entity").where("key_a < key_b").select("key_a", "key_b")
