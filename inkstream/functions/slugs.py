@@ -61,9 +61,9 @@ def human_size(n: Column) -> Column:
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
     return (
         F.when(n < kb, F.concat(F.format_string("%.1f", n.cast("double")), F.lit(" B")))
-        .when(n < mb, F.concat(F.format_string("%.1f", n / kb), F.lit(" KB")))
-        .when(n < gb, F.concat(F.format_string("%.1f", n / mb), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", n / gb), F.lit(" GB")))
+        .when(n < mb, F.concat(F.format_string("%.1f", F.bround(n / kb, 1)), F.lit(" KB")))
+        .when(n < gb, F.concat(F.format_string("%.1f", F.bround(n / mb, 1)), F.lit(" MB")))
+        .when(n >= gb, F.concat(F.format_string("%.1f", F.bround(n / gb, 1)), F.lit(" GB")))
     )
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.plans import detection, problems
+from inkstream.plans import blocks, detection, problems, quality, typography
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (problems, detection)
+_MODULES = (problems, detection, typography, blocks, quality)
 
 
 def queries() -> dict[str, Query]:
