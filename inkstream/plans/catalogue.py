@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.plans import blocks, corpus, detection, problems, quality, relational, typography
+from inkstream.plans import blocks, convert, corpus, detection, problems, quality, relational, typography
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (problems, detection, typography, blocks, quality, corpus, relational)
+_MODULES = (problems, detection, typography, blocks, quality, corpus, relational, convert)
 
 
 def queries() -> dict[str, Query]:
