@@ -18,18 +18,23 @@ def profiled(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", persian.language(F.col("text")).alias("l"), *detect.features(F.col("text"))).select("doc_id", "l.*", *detect.FEATURES)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event times with a zone, which watermarks need."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events by hour and type; events later than ``late`` are dropped by the watermark, which bounds the state."""
-    e = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    e = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return e.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Sessions of each user."""
-    e = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    e = _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
 def once(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Each event once, however often it is delivered within ``late``."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
