@@ -16,11 +16,12 @@ FIELDS = ("title", "author", "year", "doi")
 def canonical(value: Column) -> Column:
     """The letters and digits of ``value`` in their order, with case folded away.
 
-    upper before lower folds what has no single lower-case partner (sharp s).
-    Whitespace, punctuation, marks and format characters are set aside. Null
+    upper before lower folds letters with several lower-case forms; sharp s is
+    the two letters of its upper case. Whitespace, punctuation, marks and format characters are set aside. Null
     becomes the empty string.
     """
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(value, F.lit("")))), r"[^\p{L}\p{Nd}]+", "")
+    folded = F.replace(F.lower(F.upper(F.coalesce(value, F.lit("")))), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(folded, r"[^\p{L}\p{Nd}]+", "")
 
 
 def encode(df: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:

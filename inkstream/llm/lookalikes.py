@@ -114,16 +114,29 @@ def is_variant(text: str | None, name: bool = False) -> bool:
 
 def one_form(text: str | None, name: bool = False) -> str | None:
     """``text`` in its one form. Null stays null. The result is a fixed point of this function."""
-    if not text:
-        return text
-    if not _SUSPECT.search(text) and text.isascii():
-        return text
+    while text and not (text.isascii() and not _SUSPECT.search(text)):
+        out = _one_pass(text, name)
+        if out == text:
+            break
+        text = out  # composing a mark can make a word of what was two
+    return text
+
+
+def _one_digits(m: re.Match) -> str:
+    """A run of digits in the script of most of them; Persian on a tie."""
+    kinds = [(c <= "9") + 2 * ("٠" <= c <= "٩") for c in m.group()]
+    base = max((0, 2, 1), key=kinds.count)
+    return "".join(chr({0: 0x6F0, 1: 0x30, 2: 0x660}[base] + unicodedata.digit(c)) for c in m.group())
+
+
+def _one_pass(text: str, name: bool) -> str:
     out = unicodedata.normalize("NFC", text)
     out = _FORM.sub(lambda m: unicodedata.normalize("NFKC", m.group()), out)
     out = re.sub(f"[{SPACES}]", " ", re.sub(f"[{IGNORABLE}]", "", out))
     out = _ZWNJ.sub("", re.sub(f"{ZWNJ}+", ZWNJ, out))
     if _TWIN.search(out):
         out = _WORD.sub(lambda m: "".join(LATIN_TWINS.get(c, c) for c in m.group()) if _LATIN.search(m.group()) else m.group(), out)
+    out = _DIGITS.sub(_one_digits, out)
     out = _HEH_TWIN.sub(lambda m: HEH_TWINS[m.group()], out)
     if _PERSIAN_TWIN.search(out):
         fixed = lambda m: "".join(PERSIAN_TWINS.get(c, c) for c in m.group()) if is_persian(m.group()) or (name and not re.search(r"\bال|[ةإأ]", m.group())) else m.group()

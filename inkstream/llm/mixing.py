@@ -39,15 +39,17 @@ def plan(totals: dict[str, int], targets: list[tuple[int, str, float, int]]) ->
     """(mix_id, source, share, tokens to draw, tokens of the mix) for each target.
 
     A mix is as large as its scarcest source allows: no source gives more than
-    max_repeats times its size. A mix with a source that has no tokens is
-    empty. Targets with a null or a share of 0 or less are left out.
+    max_repeats times its size. A source that has no tokens can't be drawn
+    from; the others keep their proportions without it. Targets with a null or
+    a share of 0 or less are left out.
     """
     out = []
-    good = [t for t in targets if None not in t and t[2] > 0]
+    good = [t for t in targets if None not in t and t[2] > 0 and t[3] > 0 and totals.get(t[1], 0) > 0]
     for mix in sorted({t[0] for t in good}):
         mine = [t for t in good if t[0] == mix]
-        size = min(int(t[3] * totals.get(t[1], 0) / t[2]) for t in mine)
-        out += [(mix, source, share, round(share * size), size) for _, source, share, _ in mine]
+        whole = sum(t[2] for t in mine)
+        size = min(int(t[3] * totals[t[1]] * whole / t[2]) for t in mine)
+        out += [(mix, source, share / whole, round(share / whole * size), size) for _, source, share, _ in mine]
     return out
 
 
