@@ -21,6 +21,15 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, fix) -> Column:
+    """``fix`` of ``value``, which is computed once however often ``fix`` uses it.
+
+    Plain expressions would repeat a costly value at each use, and nested uses
+    multiply; a lambda variable doesn't.
+    """
+    return F.element_at(F.transform(F.array(value), fix), 1)
+
+
 def gaps(text: Column, pattern: str) -> Column:
     """The text between the matches of ``pattern``: one piece more than there are matches."""
     return F.split(text, pattern, -1)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import rx
 from inkstream.operators import blocks as B
-from inkstream.sources.tables import table
+from inkstream.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
 def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ def headings_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latex_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of LaTeX documents in order."""
-    d = table(spark, sf_dir, "documents").where("source_format = 'latex'").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents")).where("source_format = 'latex'").select("doc_id", "text")
     return B.blocks(d, "doc_id", "text", B.SECTION, "command", "title")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import detect
 from inkstream.operators import corpus as C
-from inkstream.sources.tables import table
+from inkstream.sources.tables import spread, table
 
 
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies of documents and environment bodies by kind and target."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "nodes").where("body is not null").select("doc_id", F.col("body").alias("text")).distinct())
+    texts = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(table(spark, sf_dir, "nodes").where("body is not null").select("doc_id", F.col("body").alias("text")).distinct())
     return C.dependencies(texts, "doc_id", "text").groupBy("kind", "target").agg(F.count("*").alias("n_edges"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -25,19 +25,19 @@ def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def project_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure of every project."""
-    d = table(spark, sf_dir, "documents").select("project_id", "doc_id", "path", F.coalesce("source_format", F.lit("")).alias("source_format"), detect.is_book(F.col("text")).alias("is_book"))
+    d = spread(table(spark, sf_dir, "documents")).select("project_id", "doc_id", "path", F.coalesce("source_format", F.lit("")).alias("source_format"), detect.is_book(F.col("text")).alias("is_book"))
     return C.project_structure(d.where("project_id is not null"))
 
 
 def structure_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects by declared structure and main format, with and without documents."""
-    d = table(spark, sf_dir, "documents").groupBy("project_id").agg(F.count("*").alias("n"))
+    d = spread(table(spark, sf_dir, "documents")).groupBy("project_id").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "projects").join(d, "project_id", "left").groupBy("structure_type", "main_format").agg(F.count("*").alias("n_projects"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.count_if(F.col("n").isNull()).alias("n_empty"))
 
 
 def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of LaTeX documents."""
-    return C.split_chapters(table(spark, sf_dir, "documents").where("source_format = 'latex'").select("doc_id", "text"), "doc_id", "text")
+    return C.split_chapters(spread(table(spark, sf_dir, "documents")).where("source_format = 'latex'").select("doc_id", "text"), "doc_id", "text")
 
 
 def series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def deploy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of documents copied into one folder."""
-    d = table(spark, sf_dir, "documents").where("path is not null").select("doc_id", F.regexp_replace("path", "[0-9]+", "").alias("short"), "path")
+    d = spread(table(spark, sf_dir, "documents")).where("path is not null").select("doc_id", F.regexp_replace("path", "[0-9]+", "").alias("short"), "path")
     d = d.withColumn("sort_path", F.concat_ws("#", "short", F.lpad(F.col("doc_id").cast("string"), 12, "0")))
     n = F.row_number().over(W.partitionBy("short").orderBy("sort_path")) - 1
     stem, ext = F.regexp_replace("short", r"\.[A-Za-z0-9]+$", ""), F.regexp_extract("short", r"(\.[A-Za-z0-9]+)$", 1)

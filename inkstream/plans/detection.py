@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions import detect, persian
-from inkstream.sources.tables import table
+from inkstream.sources.tables import spread, table
 
 
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and characters by source, declared and detected language."""
-    d = table(spark, sf_dir, "documents").select("lang", "source_format", F.length("text").alias("n"), persian.language(F.col("text")).alias("l"))
+    d = spread(table(spark, sf_dir, "documents")).select("lang", "source_format", F.length("text").alias("n"), persian.language(F.col("text")).alias("l"))
     return d.groupBy(F.coalesce("lang", F.lit("")).alias("declared"), "source_format", F.col("l.detected").alias("detected")).agg(
         F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"), F.round(F.avg("l.persian_ratio"), 6).alias("avg_persian")
     )
@@ -19,35 +19,35 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def converter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and direction of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", persian.converter_language(F.col("text")).alias("conv_lang"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", persian.converter_language(F.col("text")).alias("conv_lang"))
     return d.withColumn("text_dir", F.when(F.col("conv_lang") == "en", "ltr").otherwise("rtl"))
 
 
 def block_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: paragraphs by direction."""
-    d = table(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n\n", -1)).alias("pos", "block"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.posexplode(F.split("text", "\n\n", -1)).alias("pos", "block"))
     return d.groupBy(persian.direction(F.col("block")).alias("direction")).agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
 
 
 def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format by path and by content, against the declared one."""
-    d = table(spark, sf_dir, "documents").select(F.coalesce("source_format", F.lit("")).alias("declared"), detect.format_of(F.col("path")).alias("by_path"), detect.content_format(F.col("text")).alias("by_content"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.coalesce("source_format", F.lit("")).alias("declared"), detect.format_of(F.col("path")).alias("by_path"), detect.content_format(F.col("text")).alias("by_content"))
     return d.groupBy("declared", "by_path", "by_content").agg(F.count("*").alias("n_docs"))
 
 
 def content_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", detect.content_scores(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", detect.content_scores(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature flags of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", *detect.features(F.col("text")))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", *detect.features(F.col("text")))
 
 
 def book_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books and Markdown by content."""
-    d = table(spark, sf_dir, "documents").select("source_format", detect.is_book(F.col("text")).alias("is_book"), detect.markdown_sniff(F.col("text")).alias("is_markdown"))
+    d = spread(table(spark, sf_dir, "documents")).select("source_format", detect.is_book(F.col("text")).alias("is_book"), detect.markdown_sniff(F.col("text")).alias("is_markdown"))
     return d.groupBy("source_format", "is_book", "is_markdown").agg(F.count("*").alias("n_docs"))
 
 
@@ -68,7 +68,7 @@ def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (language_profile, converter_language, block_direction, format_detection, content_scores, feature_flags, book_test, encoding_warnings, path_kinds)}
 
 _PROSE = "text"
-for _p in persian.NOT_PROSE:
+for _p, _ in persian.NOT_PROSE:
     _PROSE = f"regexp_replace({_PROSE}, '{_p}', ' ', 'g')"
 _FA, _EN = (f"len(regexp_extract_all({{t}}, '{p}'))" for p in (persian.PERSIAN, persian.LATIN))
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import persian
 from inkstream.operators import quality as Q
-from inkstream.sources.tables import table
+from inkstream.sources.tables import spread, table
 
 
 def element_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q01: elements of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", Q.counters(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", Q.counters(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preflight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q06: issues of documents by level and code."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source_format", F.inline(Q.issues(F.col("text"), F.col("source_format"))))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "source_format", F.inline(Q.issues(F.col("text"), F.col("source_format"))))
     return d.groupBy("source_format", "level", "code").agg(F.count("*").alias("n_docs"))
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", Q.readiness(Q.issues(F.col("text"), F.col("source_format"))).alias("readiness"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", Q.readiness(Q.issues(F.col("text"), F.col("source_format"))).alias("readiness"))
     return d.select("doc_id", "readiness", (F.col("readiness") >= 70).alias("can_proceed"), Q.grade(F.col("readiness")).alias("grade"))
 
 

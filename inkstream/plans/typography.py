@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions import persian, rx, slugs
-from inkstream.sources.tables import table
+from inkstream.sources.tables import spread, table
 
 
 def zwnj_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def label_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: number and length of protected spans of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", rx.every(F.col("text"), persian.PROTECTED).alias("s"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", rx.every(F.col("text"), persian.PROTECTED).alias("s"))
     return d.select("doc_id", F.size("s").cast("bigint").alias("n_spans"), F.length(F.array_join("s", "")).cast("bigint").alias("n_chars"))
 
 
