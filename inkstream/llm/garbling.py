@@ -23,8 +23,9 @@ from inkstream.llm.textchunks import chunks, points
 CLASSES = 1024
 #: Improbability of a pair that the corpus lacks is -log(UNSEEN / (1 + UNSEEN)).
 UNSEEN = 0.01
-#: A mapping must lower the improbability of a segment by this much.
-LEAST_GAIN = 5.0
+#: A mapping must lower the improbability of a segment by this much; by more if the segment has Arabic letters, of which some pairs are rare.
+LEAST_GAIN = 4.0
+LEAST_GAIN_ARABIC = 5.0
 #: Ranges of code points with a class each; the rest share classes by block.
 RANGES = ((0x0000, 0x0180), (0x0370, 0x0400), (0x0400, 0x0460), (0x0600, 0x0700), (0x2000, 0x2070))
 
@@ -188,6 +189,9 @@ def bytes_read_as(text: str, read: str, written: str) -> str:
     return "".join(chars[back[c]] if c in back and c > "\x7f" else c for c in text)
 
 
+_ARABIC = re.compile("[\u0620-\u06ff]")
+
+
 def _in_word(text: str, char: str) -> bool:
     """Whether every ``char`` in ``text`` stands beside a plain letter."""
     return all("a" <= text[max(i - 1, 0)].lower() <= "z" or "a" <= text[min(i + 1, len(text) - 1)].lower() <= "z" for i, c in enumerate(text) if c == char)
@@ -228,7 +232,7 @@ class Restorer:
             if not tried:
                 break
             cost, new = min((self.model.improbability(t), t) for t in tried)
-            if cost > self.model.improbability(now) - LEAST_GAIN:
+            if cost > self.model.improbability(now) - (LEAST_GAIN_ARABIC if _ARABIC.search(now) else LEAST_GAIN):
                 break
             best = new
         return best
