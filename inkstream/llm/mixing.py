@@ -59,8 +59,8 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
     ``targets`` are the rows of a fixed table. Position counts a mixture's rows
     from 0 in the order they are to be read. A source is drawn in whole passes
     in a pseudo-random order, then from the start of that order as long as whole
-    documents fit in its quota, and then by the few documents that come closest
-    to what is left.
+    documents fit in its quota (one that doesn't is skipped), and then by the few
+    documents that come closest to what is left.
     """
     spark = sizes.sparkSession
     schema = "mix_id bigint, position bigint, source string, doc_id bigint, pass int, tokens bigint, release double, deadline double"
@@ -77,9 +77,17 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
     rows = [(int(m), s, float(w), int(q), sums[s][0], int(t)) for m, s, w, q, t in quotas]
     by_source = spark.createDataFrame(rows, "mix_id bigint, source string, share double, quota bigint, total bigint, size bigint")
     drawn = docs.join(F.broadcast(by_source), "source")  # as many rows as the fixed table of targets
-    drawn = drawn.withColumn("n", F.expr("cast(greatest(floor((quota - first - tokens) / total) + 1, 0) as int)"))
+    drawn = drawn.withColumn("base", F.floor(F.col("quota") / F.col("total")).cast("int")).withColumn("rest", F.col("quota") - F.col("base") * F.col("total"))
+    # the first document that doesn't fit in the last pass is skipped once, and those behind it move up
+    over = drawn.where("first <= rest and first + tokens > rest and rest > 0").groupBy("mix_id", "source").agg(F.min(F.struct("first", "tokens")).alias("o")).collect()
+    skips = [(r["mix_id"], r["source"], r["o"]["first"], r["o"]["tokens"]) for r in over]
+    skipped = F.broadcast(spark.createDataFrame(skips, "mix_id bigint, source string, skip_first bigint, skip_tokens bigint"))
+    drawn = drawn.join(skipped, ["mix_id", "source"], "left")
+    moved = F.when(F.col("first") > F.col("skip_first"), F.col("skip_tokens")).otherwise(0)
+    fits = (F.col("first") - moved + F.col("tokens") <= F.col("rest")) & ~F.coalesce(F.col("first") == F.col("skip_first"), F.lit(False))
+    drawn = drawn.withColumn("moved", moved).withColumn("n", F.col("base") + fits.cast("int"))
     extra = _closers(drawn, quotas)
-    passes = drawn.where("n > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("start", F.col("pass") * F.col("total") + F.col("first"))
+    passes = drawn.where("n > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("start", F.col("pass") * F.col("total") + F.col("first") - F.when(F.col("pass") == F.col("base"), F.col("moved")).otherwise(0))
     drawn = passes.select("mix_id", "source", "doc_id", "pass", "tokens", "start")
     if extra:
         drawn = drawn.unionByName(spark.createDataFrame(extra, "mix_id bigint, source string, doc_id bigint, pass int, tokens bigint, start bigint"))
