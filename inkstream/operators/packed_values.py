@@ -141,7 +141,9 @@ def _comma_names(piece: str) -> list[str]:
     if not at:
         return [piece]
     parts = _pieces(piece, at)
-    if len(parts) > 1 and all(_enclosed(p) or len(p.split()) > 1 for p in parts):
+    if len(parts) < 2:
+        return parts
+    if all(_enclosed(p) or len(p.split()) > 1 for p in parts):
         return parts
     return [piece]
 
