@@ -251,7 +251,7 @@ def near_families(keys: DataFrame) -> DataFrame:
     few = blocked.where(F.col("n") <= MOST_IN_BLOCK).drop("n")
     many = blocked.where(F.col("n") > MOST_IN_BLOCK).select("kind", "family", "given", F.explode(_slips(F.col("family"))).alias("slip"), "block")
     many = many.select("kind", "family", "given", F.concat_ws("|", "block", "slip").alias("block"))
-    both = few.unionByName(many)
+    both = written(few.unionByName(many))  # a self-join would plan all of this twice
     pairs = both.join(both.withColumnRenamed("family", "other"), ["kind", "given", "block"]).where("family < other").select("family", "other", "kind", "given").distinct()
     return pairs.mapInArrow(_compatible, "family string, other string, kind string, given string")
 
