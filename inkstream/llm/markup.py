@@ -161,6 +161,18 @@ def clean(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def clean_body(name: str | None, body: str | None) -> str | None:
+    """The clean text of an environment's body: code as a fenced block, a formula as a display formula, the rest by :func:`clean`."""
+    bare = (name or "").removesuffix("*")
+    if body is None or bare not in OPAQUE_ENVIRONMENTS:
+        return clean(body)
+    if bare in ("equation", "align"):
+        return f"$${body.strip()}$$"
+    # the fence is longer than any in the code
+    fence = "`" * max([3, *(len(m) + 1 for m in re.findall(r"`{3,}", body))])
+    return f"{fence}\n{body.strip(chr(10)).rstrip()}\n{fence}"
+
+
 def _front(block: str) -> str:
     title = re.search(r"^title:[ \t]*(.+)$", block, re.M)
     return f"# {title.group(1).strip()}\n\n" if title else ""
@@ -263,12 +275,16 @@ def markup_kinds(df: DataFrame, key: str, text: str, field: str) -> DataFrame:
     return rows.mapInArrow(run, "row_id bigint, markup string").distinct().select(F.lit(field).alias("field"), "row_id", "markup")
 
 
-def cleaned(df: DataFrame, key: str, text: str, field: str) -> DataFrame:
-    """(field, row_id, text): each row's clean text. One narrow pass; repeated rows stay repeated."""
+def cleaned(df: DataFrame, key: str, text: str, field: str, environment: str | None = None) -> DataFrame:
+    """(field, row_id, text): each row's clean text. One narrow pass; repeated rows stay repeated.
+
+    ``environment`` is the column with the name of the environment that the text is the body of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(v.as_py()) for v in batch.column(1)], pa.string())], names=["row_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean_body(n.as_py(), v.as_py()) for v, n in zip(batch.column(1), batch.column(2), strict=True)], pa.string())], names=["row_id", "text"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("__text"))
+    name = F.col(environment).cast("string") if environment else F.lit(None).cast("string")
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("__text"), name.alias("__name"))
     return rows.mapInArrow(run, "row_id bigint, text string").select(F.lit(field).alias("field"), "row_id", "text")

@@ -85,24 +85,27 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str]]:
-    """(rows, key, text, field) of every table that holds markup."""
-    bodies = table(spark, sf_dir, "nodes").where((F.col("kind") == "environment") & ~F.coalesce(F.col("name"), F.lit("")).isin(*markup.OPAQUE_ENVIRONMENTS))
+    """(rows, key, text, field) of every table that holds markup. Bodies have the name of their environment."""
+    bodies = table(spark, sf_dir, "nodes").where("kind = 'environment'")
     return [
         (_text_nodes(spark, sf_dir), "node_uid", "content", "nodes.content"),
-        (spread(bodies.select("node_uid", "body")), "node_uid", "body", "nodes.body"),
+        (spread(bodies.select("node_uid", "body", "name")), "node_uid", "body", "nodes.body"),
         (spread(table(spark, sf_dir, "chapters").select("chapter_id", "mdx_content")), "chapter_id", "mdx_content", "chapters.mdx_content"),
     ]
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of markup in text nodes, environment bodies and chapters."""
-    a, b, c = (markup.markup_kinds(*x) for x in _marked_up(spark, sf_dir))
+    texts, (bodies, *how), chapters = _marked_up(spark, sf_dir)
+    bodies = bodies.where(~F.coalesce(F.col("name"), F.lit("")).isin(*markup.OPAQUE_ENVIRONMENTS))
+    a, b, c = (markup.markup_kinds(*x) for x in (texts, (bodies, *how), chapters))
     return a.unionByName(b).unionByName(c)
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same values as clean text."""
-    a, b, c = (markup.cleaned(*x) for x in _marked_up(spark, sf_dir))
+    """The same values, and code and formulas in environments, as clean text."""
+    texts, bodies, chapters = _marked_up(spark, sf_dir)
+    a, b, c = markup.cleaned(*texts), markup.cleaned(*bodies, environment="name"), markup.cleaned(*chapters)
     return a.unionByName(b).unionByName(c)
 
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkstream.llm import format_copies, garbling, languages, lookalikes, markup, mixing, names, packing, shared_spans, tokens
+from inkstream.llm import format_copies, garbling, languages, lookalikes, markup, mixing, names, packing, queries, shared_spans, tokens
 
 Z = "‌"
 
@@ -292,3 +292,15 @@ def test_every_span_holds_the_same_block(text, cut):
     a = {text[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(text)).tolist() if p + shared_spans.BLOCK <= 200}
     b = {span[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(span)).tolist()}
     assert b and b <= a
+
+
+def test_clean_keeps_code_and_formulas(spark, sf_dir):
+    """Bodies of code and formula environments come out as they are, fenced or between dollar signs."""
+    assert markup.clean_body("lstlisting", "  <b>x</b>\n# y\n") == "```\n  <b>x</b>\n# y\n```" and markup.clean_body("minted", "```\na") == "````\n```\na\n````"
+    assert markup.clean_body("align", " a &= b \\\\ c ") == "$$a &= b \\\\ c$$" and markup.clean_body("quote", "<b>x</b>") == "x" and markup.clean_body("verbatim", None) is None
+    nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("kind = 'environment' and body is not null")
+    got = queries.p6_clean(spark, sf_dir).where("field = 'nodes.body' and text is not null")
+    assert got.count() == nodes.count()
+    code = nodes.where("name in ('verbatim', 'lstlisting', 'minted')").select("node_uid").distinct()
+    out = got.join(code, got["row_id"] == code["node_uid"]).collect()
+    assert out and all(r["text"].startswith("```\n") and r["text"].endswith("\n```") for r in out)
