@@ -1,28 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from inkstream.sources.staging import shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        else:
-            folder = "file://" + tempfile.mkdtemp(prefix="inkstream-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: later stages don't depend on lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/inkstream-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.functions import rx
+from inkstream.sources.staging import written
 
 #: Commands by which a LaTeX file names another one.
 DEPENDENCIES = {"input": r"\\input\{([^}]+)\}", "include": r"\\include\{([^}]+)\}", "bib": r"\\(?:bibliography|addbibresource)\{([^}]+)\}", "image": r"\\includegraphics(?:\[[^\]]*\])?\{([^}]+)\}", "package": r"\\usepackage(?:\[[^\]]*\])?\{([^}]+)\}"}
@@ -22,18 +25,21 @@ def dependencies(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.inline(pairs))
 
 
-def reachable(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(src, dst, depth) of everything that is reached over ``edges`` (src, dst) in ``rounds`` steps at most.
+def reachable(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(src, dst, depth) of everything that is reached over ``edges`` (src, dst), or in ``rounds`` steps at most.
 
     Each pair has its least depth; cycles end because a pair that is known
-    isn't followed again.
+    isn't followed again. Every step's new pairs are written to the shared
+    folder; it ends when there are none.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = edges.withColumn("depth", F.lit(1))
     frontier = seen
-    for depth in range(2, rounds + 1):
+    for depth in count(2) if rounds is None else range(2, rounds + 1):
         step = frontier.select("src", F.col("dst").alias("via")).join(edges.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
-        frontier = step.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = written(step.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.take(1):
+            break
         seen = seen.unionByName(frontier)
     return seen
 

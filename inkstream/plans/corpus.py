@@ -20,7 +20,7 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document reaches over the tree of its nodes' commands."""
     n = table(spark, sf_dir, "nodes").where("parent_id is not null").select(F.concat_ws(":", "doc_id", "parent_id").alias("src"), F.concat_ws(":", "doc_id", "node_id").alias("dst"))
-    return C.reachable(n, 4).groupBy("depth").agg(F.count("*").alias("n_pairs"))
+    return C.reachable(n).groupBy("depth").agg(F.count("*").alias("n_pairs"))
 
 
 def project_structure(spark: SparkSession, sf_dir: str) -> DataFrame:

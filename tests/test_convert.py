@@ -4,6 +4,7 @@ import zipfile
 
 from inkstream import engine
 from inkstream.operators import convert, corpus, html, latex
+from inkstream.plans import corpus as plans
 from inkstream.sources import files, sinks
 
 
@@ -51,6 +52,16 @@ def test_closure_with_cycle(spark):
     assert found == {(a, b): d for a, bs in {"a": "bca", "b": "cab", "c": "abc"}.items() for d, b in enumerate(bs, 1)}
 
 
+def test_closure_of_a_long_chain(spark, tmp_path):
+    """Pairs of every depth come out, beyond any fixed number of steps."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    found = {(r["src"], r["dst"]): r["depth"] for r in corpus.reachable(edges).collect()}
+    assert found == {(f"n{i}", f"n{j}"): j - i for i in range(13) for j in range(i + 1, 13)}
+    nodes = spark.createDataFrame([(1, i - 1 if i else None, i) for i in range(8)], "doc_id bigint, parent_id bigint, node_id bigint")
+    nodes.write.parquet(str(tmp_path / "nodes.parquet"))
+    assert {tuple(r) for r in plans.include_closure(spark, str(tmp_path)).collect()} == {(d, 8 - d) for d in range(1, 8)}
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", None)], "k bigint, v string, t bigint")
     assert {(r["k"], r["v"]) for r in corpus.latest(df, "k", "t").collect() if r["k"]} >= {(1, "b")}
