@@ -118,14 +118,20 @@ def block_filter(index: DataFrame) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, field: np.ndarray) -> DataFrame:
-    """(block, doc_id, start, before, after) for the blocks whose bit is set, with up to SIDE characters on each side."""
+    """(block, doc_id, starts, lasts, before, after) for the blocks whose bit is set, with up to SIDE characters on each side.
+
+    A block with the same sides is one row a document, wherever it stands:
+    starts and lasts are the first and the last start of each run of starts at
+    most SPAN apart. A span around a block has SPAN characters at least, so the
+    spans of a run are one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         bits = len(words) * 64
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
                 blocks = _blocks(text) if doc is not None else []
@@ -133,24 +139,28 @@ def occurrences(docs: DataFrame, field: np.ndarray) -> DataFrame:
                     continue
                 at = np.array([h for h, _ in blocks], np.int64) % bits
                 hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-                seen = set()
+                seen: dict[tuple[int, str, str], tuple[list[int], list[int]]] = {}
                 for i in np.flatnonzero(hit).tolist():
                     h, p = blocks[i]
-                    row = (h, text[max(p - SIDE, 0) : p], text[p + BLOCK : p + SPAN])
-                    if row not in seen:  # a run of one character repeats a block at every place
-                        seen.add(row)
-                        for column, v in zip(out, (h, doc, p, row[1], row[2]), strict=True):
-                            column.append(v)
+                    starts, lasts = seen.setdefault((h, text[max(p - SIDE, 0) : p], text[p + BLOCK : p + SPAN]), ([], []))
+                    if lasts and p - lasts[-1] <= SPAN:  # a run of one character repeats a block at every place
+                        lasts[-1] = p
+                    else:
+                        starts.append(p)
+                        lasts.append(p)
+                for (h, before, after), (starts, lasts) in seen.items():
+                    for column, v in zip(out, (h, doc, starts, lasts, before, after), strict=True):
+                        column.append(v)
                 if len(out[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=_NAMES)
-                    out = ([], [], [], [], [])
+                    out = ([], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=_NAMES)
 
-    return docs.mapInArrow(run, "block bigint, doc_id bigint, start bigint, before string, after string")
+    return docs.mapInArrow(run, "block bigint, doc_id bigint, starts array<bigint>, lasts array<bigint>, before string, after string")
 
 
-_NAMES = ["block", "doc_id", "start", "before", "after"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_NAMES = ["block", "doc_id", "starts", "lasts", "before", "after"]
+_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()]
 
 
 def _agreeing(a: str, b: str) -> int:
@@ -165,8 +175,8 @@ def _agreeing(a: str, b: str) -> int:
     return lo
 
 
-def classes_of_block(ids: list[int], starts: list[int], befores: list[str], afters: list[str]) -> tuple[list[tuple[int, ...]], dict[tuple[int, int], tuple[int, int]]]:
-    """(sets of documents that share a span at this block, covered span by (document, start)).
+def classes_of_block(ids: list[int], starts: list[list[int]], lasts: list[list[int]], befores: list[str], afters: list[str]) -> tuple[list[tuple[int, ...]], dict[tuple[int, int], tuple[int, int]]]:
+    """(sets of documents that share a span at this block, covered span by (document, first start of a run)).
 
     Every pair of documents that shares SPAN characters around the block is in
     one of the sets, and no other pair is. Occurrences with the same sides are
@@ -208,7 +218,8 @@ def classes_of_block(ids: list[int], starts: list[int], befores: list[str], afte
     for x, (left, right) in enumerate(reach):
         if left >= 0:
             for i in rows[x]:
-                covered[ids[i], starts[i]] = (starts[i] - left, starts[i] + BLOCK + right)
+                for first, last in zip(starts[i], lasts[i], strict=True):
+                    covered[ids[i], first] = (first - left, last + BLOCK + right)
     return sorted(sets), covered
 
 
@@ -273,11 +284,11 @@ def _compare_hot(hot: DataFrame) -> DataFrame:
     number, sum of hashes, smallest and largest) are kept once.
     """
     windows = hot.select(
-        "block", "doc_id", "start", F.length("before").alias("nb"), "before", "after", F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("left")
+        "block", "doc_id", "starts", "lasts", F.length("before").alias("nb"), "before", "after", F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("left")
     ).where((F.col("nb") >= F.col("left")) & (F.length("after") >= SIDE - F.col("left")))
     windows = windows.select(
         "doc_id",
-        (F.col("start") - F.col("left")).alias("start"),
+        F.transform(F.arrays_zip("starts", "lasts"), lambda x: F.struct((x["starts"] - F.col("left")).alias("start"), (x["lasts"] - F.col("left") + SPAN).alias("end"))).alias("runs"),
         F.unhex(F.md5(F.concat(F.col("block").cast("string"), F.lit(":"), F.col("left").cast("string"), F.lit(":"), F.expr("right(before, left)"), F.lit("|"), F.expr(f"left(after, {SIDE} - left)")))).alias("w"),
     )
     found = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -286,7 +297,7 @@ def _compare_hot(hot: DataFrame) -> DataFrame:
     sign = members.groupBy("w").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     keep = sign.groupBy("n", "s", "lo", "hi").agg(F.min("w").alias("w")).select("w")
     sets = members.join(keep, "w").select(F.col("w").alias("class"), "doc_id", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
-    spans = found.select(F.lit(None).cast("binary").alias("class"), "doc_id", "start", (F.col("start") + SPAN).alias("end"))
+    spans = found.select(F.lit(None).cast("binary").alias("class"), "doc_id", F.inline("runs"))
     return sets.unionByName(spans)
 
 

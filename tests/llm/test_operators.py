@@ -304,3 +304,27 @@ def test_clean_keeps_code_and_formulas(spark, sf_dir):
     code = nodes.where("name in ('verbatim', 'lstlisting', 'minted')").select("node_uid").distinct()
     out = got.join(code, got["row_id"] == code["node_uid"]).collect()
     assert out and all(r["text"].startswith("```\n") and r["text"].endswith("\n```") for r in out)
+@pytest.mark.parametrize("most_in_task", [2048, 1])
+def test_shared_amounts_of_repeated_passages(spark, most_in_task):
+    """Every copy of a passage counts, however often a document repeats it."""
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefgh آبپ\n") for _ in range(n))
+    passage, short = fresh(1000), fresh(150)
+    texts = {1: fresh(80) + passage + fresh(300) + passage + fresh(250) + passage + fresh(40), 2: fresh(30) + passage, 3: short * 8 + fresh(100), 4: fresh(90) + short * 3, 5: "-" * 900 + passage + "-" * 500, 6: "-" * 300}
+    windows: dict[str, set[int]] = {}
+    for d, t in texts.items():
+        for i in range(len(t) - shared_spans.SPAN + 1):
+            windows.setdefault(t[i : i + shared_spans.SPAN], set()).add(d)
+    want = {}
+    for d, t in texts.items():
+        mask = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - shared_spans.SPAN + 1):
+            if len(windows[t[i : i + shared_spans.SPAN]]) > 1:
+                mask[i : i + shared_spans.SPAN] = True
+        want[d] = (int(mask.sum()), int((np.diff(mask.astype(int)) == -1).sum()))
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    got = shared_spans.shared_amounts(df, most_in_task).collect()
+    assert {r["doc_id"]: r["shared_chars"] for r in got} == {d: n for d, (n, _) in want.items()}
+    assert {r["doc_id"]: r["n_spans"] for r in got if r["doc_id"] < 3} == {d: s for d, (_, s) in want.items() if d < 3}
+
+
