@@ -3,20 +3,27 @@
 Every drawn document is a block with a release time and a deadline on the
 mixture's time line of tokens: with weight w, the block that holds its source's
 tokens a to b may start at a / w and must end by b / w. Earliest deadline first
-then interleaves the sources so that each is within one block of its share at
-every time.
+among the released blocks then interleaves the sources so that each is within
+one (the largest) block of its share at every time. The order depends on all
+that was dealt before, so a mixture is dealt by one task, as a stream.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.llm.staging import written
 
-#: Documents of a source or stretch of the time line that one task orders, on average.
+#: Documents of a source that one task orders, on average.
 TASK_ROWS = 20_000
+#: Rows that are put out at once.
+BATCH_ROWS = 20_000
 #: Documents that close the gap between a source's whole documents in order and its quota, at most.
 CLOSERS = 4
 
@@ -93,10 +100,48 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
         drawn = drawn.unionByName(spark.createDataFrame(extra, "mix_id bigint, source string, doc_id bigint, pass int, tokens bigint, start bigint"))
     drawn = drawn.join(F.broadcast(by_source.select("mix_id", "source", "share", "size")), ["mix_id", "source"])
     drawn = drawn.select("mix_id", "source", "doc_id", "pass", "tokens", "size", (F.col("start") / F.col("share")).alias("release"), ((F.col("start") + F.col("tokens")) / F.col("share")).alias("deadline"))
-    stretches = max(1, sum(n for _, n in sums.values()) // TASK_ROWS)
-    drawn = drawn.withColumn("stretch", F.floor(F.col("deadline") * stretches / F.greatest(F.col("size"), F.lit(1)))).withColumn("one", F.lit(1))
-    out = running_sum(drawn, ["mix_id"], "stretch", ["deadline", "release", "source", "doc_id", "pass"], "one", "position")
-    return out.select("mix_id", "position", "source", "doc_id", "pass", "tokens", "release", "deadline")
+    drawn = drawn.select("mix_id", "release", "deadline", "source", "doc_id", "pass", "tokens")
+    return drawn.repartition("mix_id").sortWithinPartitions("mix_id", "release", "deadline", "source", "doc_id", "pass").mapInArrow(_dealt, schema)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (mix_id, release) as they are to be read: of the blocks released by now, the one with the earliest deadline.
+
+    Now is the number of tokens dealt. What is released and waits is held,
+    which is about one block's tokens of each source. Where nothing is
+    released, as at the end when a source is short of its quota, the next one is.
+    """
+    ready: list[tuple] = []
+    out: list[tuple] = []
+    mix, now, position = None, 0, 0
+
+    def deal() -> None:
+        nonlocal now, position
+        deadline, release, source, doc, turn, tokens = heapq.heappop(ready)
+        out.append((mix, position, source, doc, turn, tokens, release, deadline))
+        now, position = now + tokens, position + 1
+
+    def take() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        columns = zip(*out, strict=True) if out else [()] * len(types)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["mix_id", "position", "source", "doc_id", "pass", "tokens", "release", "deadline"])
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for m, release, deadline, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if m != mix:
+                while ready:
+                    deal()
+                mix, now, position = m, 0, 0
+            while ready and release > now * (1 + 1e-12) + 1e-9:
+                deal()
+            heapq.heappush(ready, (deadline, release, *row))
+            if len(out) >= BATCH_ROWS:
+                yield take()
+    while ready:
+        deal()
+    yield take()
 
 
 def _closers(drawn: DataFrame, quotas: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str, int, int, int, int]]:

@@ -294,6 +294,24 @@ def test_every_span_holds_the_same_block(text, cut):
     assert b and b <= a
 
 
+def test_mix_of_short_and_long_documents(spark):
+    """Every source is within one block of its share at every time, however long the documents of others are."""
+    rng = random.Random(9)
+    rows = [(i, "a", 1) for i in range(500)] + [(1000 + i, s, 100) for i, s in enumerate("bcdef")]
+    rows += [(2000 + i, "g", 1) for i in range(2000)] + [(5000 + i, s, rng.randint(1, 300)) for s in "hijklm" for i in range(1000 * "hijklm".index(s), 1000 * "hijklm".index(s) + 8)]
+    targets = [(1, "a", 0.5, 1)] + [(1, s, 0.1, 1) for s in "bcdef"] + [(2, "g", 0.4, 3)] + [(2, s, 0.1, 3) for s in "hijklm"]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets).toPandas()
+    for mix in (1, 2):
+        share = {s: w for m, s, w, _ in targets if m == mix}
+        mine = out[out.mix_id == mix].sort_values("position")
+        assert list(mine.position) == list(range(len(mine))) and set(mine.source) == set(share)
+        got, total, block = dict.fromkeys(share, 0), 0, mine.tokens.max()
+        for r in mine.itertuples():
+            got[r.source] += r.tokens
+            total += r.tokens
+            assert all(abs(got[s] - share[s] * total) <= block for s in share)
+
+
 def test_clean_keeps_code_and_formulas(spark, sf_dir):
     """Bodies of code and formula environments come out as they are, fenced or between dollar signs."""
     assert markup.clean_body("lstlisting", "  <b>x</b>\n# y\n") == "```\n  <b>x</b>\n# y\n```" and markup.clean_body("minted", "```\na") == "````\n```\na\n````"
