@@ -127,15 +127,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, with a confidence."""
+    """(field, row_id, detected, confidence): the language of every document and of the title of every entry; null and 0 if there is none."""
     model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
-    return languages.document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", model)
+    docs = languages.document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", model)
+    titles = languages.short_text_languages(spread(table(spark, sf_dir, "bib_entries").select("bib_id", "title")), "bib_id", "title", model)
+    titles = titles.withColumn("confidence", F.when(F.col("detected").isNull(), 0.0).otherwise(F.col("confidence")))
+    return docs.select(F.lit("documents.lang").alias("field"), F.col("doc_id").alias("row_id"), "detected", "confidence").unionByName(
+        titles.select(F.lit("bib_entries.language").alias("field"), F.col("bib_id").alias("row_id"), "detected", "confidence")
+    )
 
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The languages of the sentences of mixed text nodes, with a confidence."""
+    """Every segment of every text node with its position, place, language and confidence."""
     model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
-    return languages.mixed_segments(_text_nodes(spark, sf_dir), "node_uid", "content", model).distinct()
+    return languages.segment_languages(_text_nodes(spark, sf_dir), "node_uid", "content", model).distinct()
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

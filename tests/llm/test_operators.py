@@ -200,6 +200,31 @@ def test_packing_and_bound(sizes, capacity):
 
 def _fewest(sizes, capacity):
     best = len(sizes)
+@given(st.text(alphabet="ab $<>`&;\\.!\n{}", max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_sentence_spans(text):
+    """Each segment stands where its span says, but for the markup inside."""
+    spans, segments = languages.sentence_spans(text), languages.sentences(text)
+    assert len(spans) == len(segments) and all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    for (a, b), s in zip(spans, segments, strict=True):
+        assert b <= len(text) and "".join(languages._MARKUP.sub("", text[a:b]).split()) == "".join(s.split()) or languages._MARKUP.search(text)
+
+
+def test_language_of_every_entry_and_segment(spark, sf_dir):
+    got = queries.p7_languages(spark, sf_dir).collect()
+    for field, name, key in (("documents.lang", "documents", "doc_id"), ("bib_entries.language", "bib_entries", "bib_id")):
+        assert sorted(r["row_id"] for r in got if r["field"] == field) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key).collect())
+    assert all((r["detected"] is None) == (r["confidence"] == 0) for r in got)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/lang_samples.parquet").select("text", "lang").collect()]
+    model = languages.Classifier.fit([t for t, _ in rows], [lang for _, lang in rows])
+    en, fr = (next(t for t, lang in rows if lang == x and len(languages.sentences(t)) == 1 and t.endswith(".")) for x in ("en", "fr"))
+    df = spark.createDataFrame([(1, f"{en} {fr}\n{en}"), (2, None), (3, "1 + 1")], "id int, t string")
+    out = {(r["id"], r["position"]): (r["start"], r["end"], r["lang"]) for r in languages.segment_languages(df, "id", "t", model).collect()}
+    n, m = len(en), len(fr)
+    assert out == {(1, 0): (0, n, "en"), (1, 1): (n + 1, n + 1 + m, "fr"), (1, 2): (n + m + 2, 2 * n + m + 2, "en"), (3, 0): (0, 5, None)}
+    assert queries.p7_segments(spark, sf_dir).groupBy("node_uid", "position").count().where("count > 1").count() == 0
+
+
 
     def go(i, bins):
         nonlocal best
