@@ -1,4 +1,4 @@
-"""LaTeX and MDX text as column expressions: cleaning, macros, direction and footnotes."""
+"""LaTeX and MDX text as column expressions: cleaning, macros, direction and footnotes."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""LaTeX as a tree of nodes, and the tree as MDX.
+"""LaTeX as a tree of nodes, and the tree as MDX.
 
 One scanner walks a text once with an explicit stack, so nesting of any depth
 neither recurses nor fails: what is open at the end is closed there, and a

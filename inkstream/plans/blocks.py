@@ -126,7 +126,7 @@ def references_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields read back from the JSON of each entry."""
+    """Fields read back from the JSON of each entry."""
     e = table(spark, sf_dir, "bib_entries").select("bib_id", "raw_fields")
     return e.select("bib_id", *(F.get_json_object("raw_fields", f"$.{c}").alias(f"raw_{c}") for c in ("title", "author", "year", "doi")))
 

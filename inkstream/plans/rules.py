@@ -37,7 +37,7 @@ def plain_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macros that nodes define, and how often their document uses each."""
+    """Macros that nodes define, and how often their document uses each; none is expanded."""
     n = _bodies(spark, sf_dir)
     defined = n.select("doc_id", F.explode(rx.every(F.col("t"), L.MACRO, 1)).alias("macro")).groupBy("doc_id", "macro").agg(F.count("*").alias("n_defined"))
     used = n.select("doc_id", F.explode(L.commands(F.col("t"))).alias("macro")).groupBy("doc_id", "macro").agg(F.count("*").alias("n_used"))
