@@ -4,7 +4,8 @@ A name becomes a key: for a person the family name in one alphabet and the
 given name, resolved by a table of given names, or an initial; for an
 organisation its place name and the beginnings of its other words. Keys are
 blocked on suffixes of the family or place name, read in both directions so that
-a typo anywhere leaves one half whole; candidates are compared by the ratio of
+a typo anywhere leaves one half whole, short ones on themselves with one letter
+left out; candidates are compared by the ratio of
 their longest common subsequence and must be one slip of the hand apart.
 """
 
@@ -223,14 +224,18 @@ def _compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(family: Column) -> Column:
-    """The suffix of half the word and its counterpart from the other end, LEAST_SUFFIX letters at least.
+    """The suffix of half the word and its counterpart from the other end, LEAST_SUFFIX letters at least; of short words the :func:`_slips`.
 
-    Words of one length more or less share one of them if one letter differs.
+    A slip may leave no LEAST_SUFFIX letters whole in a word of at most twice
+    as many, so those are also blocked exactly. Two words one slip apart share
+    a block.
     """
     half = F.greatest(F.lit(LEAST_SUFFIX), F.floor((F.length(family) - 2) / 2).cast("int"))
     shorter = F.greatest(F.lit(LEAST_SUFFIX), half - 1)
     ends = lambda n, s: F.concat(F.lit(s), F.right(family, n) if s == ">" else F.left(family, n))
-    return F.array_distinct(F.array(ends(half, ">"), ends(half, "<"), ends(shorter, ">"), ends(shorter, "<")))
+    halves = F.array(ends(half, ">"), ends(half, "<"), ends(shorter, ">"), ends(shorter, "<"))
+    slips = F.when(F.length(family) <= 2 * LEAST_SUFFIX, F.transform(_slips(family), lambda s: F.concat(F.lit("="), s))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.when(F.length(family) >= 2 * LEAST_SUFFIX, halves).otherwise(F.array().cast("array<string>")), slips))
 
 
 def _slips(family: Column) -> Column:

@@ -136,6 +136,21 @@ def test_blocks_lose_no_slip(spark, monkeypatch):
     assert {(r["family"], r["other"]) for r in names.near_families(df).collect()} == want
 
 
+@pytest.mark.parametrize("most", [200, 1])
+def test_blocks_lose_no_slip_in_short_words(spark, monkeypatch, most):
+    """Words of every length, with the slip anywhere."""
+    monkeypatch.setattr(names, "MOST_IN_BLOCK", most)
+    rng = random.Random(8)
+    words = {"".join(rng.choice("bdfgklmnprstaeiou") for _ in range(n)) for n in range(2, 13) for _ in range(4)} | {"ahmadi", "ahamdi"}
+    for w in sorted(words):
+        for i in range(len(w)):
+            words |= {w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]}
+    words.discard("")
+    want = {(a, b) for a in words for b in words if a < b and names.one_slip(a, b) and names.common_ratio(a, b) >= names.LEAST_RATIO}
+    df = spark.createDataFrame([("p", w, "g") for w in sorted(words)], "kind string, family string, given string")
+    assert ("ahamdi", "ahmadi") in want and {(r["family"], r["other"]) for r in names.near_families(df).collect()} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y"), ("y", "x"), ("z", "z")], "a string, b string")
     got = {r["node"]: r["root"] for r in names.components(edges).collect()}
@@ -185,21 +200,6 @@ def test_languages(spark, sf_dir):
     assert [r[0] for r in labels.select(languages.label(labels["l"])).collect()] == ["en", "fa", None, None, None, "es", "fr"]
 
 
-@given(st.lists(st.integers(1, 30), max_size=12), st.integers(30, 40))
-@settings(max_examples=150, deadline=None)
-def test_packing_and_bound(sizes, capacity):
-    sizes = np.array(sizes, np.int64)
-    where = packing.best_fit_decreasing(sizes, capacity)
-    fill = np.bincount(where, weights=sizes) if len(sizes) else np.array([])
-    assert (fill <= capacity).all()
-    bound = packing.lower_bound(sizes, capacity)
-    assert -(-sizes.sum() // capacity) <= bound <= len(fill) if len(sizes) else bound == 0
-    if len(sizes) <= 6:
-        assert bound <= _fewest(sorted(sizes.tolist(), reverse=True), capacity)
-
-
-def _fewest(sizes, capacity):
-    best = len(sizes)
 @given(st.text(alphabet="ab $<>`&;\\.!\n{}", max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_sentence_spans(text):
@@ -225,6 +225,21 @@ def test_language_of_every_entry_and_segment(spark, sf_dir):
     assert queries.p7_segments(spark, sf_dir).groupBy("node_uid", "position").count().where("count > 1").count() == 0
 
 
+@given(st.lists(st.integers(1, 30), max_size=12), st.integers(30, 40))
+@settings(max_examples=150, deadline=None)
+def test_packing_and_bound(sizes, capacity):
+    sizes = np.array(sizes, np.int64)
+    where = packing.best_fit_decreasing(sizes, capacity)
+    fill = np.bincount(where, weights=sizes) if len(sizes) else np.array([])
+    assert (fill <= capacity).all()
+    bound = packing.lower_bound(sizes, capacity)
+    assert -(-sizes.sum() // capacity) <= bound <= len(fill) if len(sizes) else bound == 0
+    if len(sizes) <= 6:
+        assert bound <= _fewest(sorted(sizes.tolist(), reverse=True), capacity)
+
+
+def _fewest(sizes, capacity):
+    best = len(sizes)
 
     def go(i, bins):
         nonlocal best
@@ -279,6 +294,24 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_mix_of_short_and_long_documents(spark):
+    """Every source is within one block of its share at every time, however long the documents of others are."""
+    rng = random.Random(9)
+    rows = [(i, "a", 1) for i in range(500)] + [(1000 + i, s, 100) for i, s in enumerate("bcdef")]
+    rows += [(2000 + i, "g", 1) for i in range(2000)] + [(5000 + i, s, rng.randint(1, 300)) for s in "hijklm" for i in range(1000 * "hijklm".index(s), 1000 * "hijklm".index(s) + 8)]
+    targets = [(1, "a", 0.5, 1)] + [(1, s, 0.1, 1) for s in "bcdef"] + [(2, "g", 0.4, 3)] + [(2, s, 0.1, 3) for s in "hijklm"]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets).toPandas()
+    for mix in (1, 2):
+        share = {s: w for m, s, w, _ in targets if m == mix}
+        mine = out[out.mix_id == mix].sort_values("position")
+        assert list(mine.position) == list(range(len(mine))) and set(mine.source) == set(share)
+        got, total, block = dict.fromkeys(share, 0), 0, mine.tokens.max()
+        for r in mine.itertuples():
+            got[r.source] += r.tokens
+            total += r.tokens
+            assert all(abs(got[s] - share[s] * total) <= block for s in share)
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", "s"), (1, "hello world", "s"), (2, None, "s"), (3, "", "s"), (4, "سلام دنیا " * 5000, "s"), (None, "x", "s")], "doc_id bigint, tokens string, source string")
     out = {r["doc_id"]: r["tokens"] for r in tokens.sizes(df, "doc_id", "tokens", also=("source",)).collect()}
@@ -309,44 +342,6 @@ def test_shared_spans(spark, most_in_task):
     assert shared_spans.linked_pairs(df.limit(0)).count() == 0
 
 
-@given(st.text("ab", min_size=200, max_size=420), st.integers(0, 100))
-@settings(max_examples=60, deadline=None)
-def test_every_span_holds_the_same_block(text, cut):
-    """A block of any 200 characters is chosen alike wherever they occur."""
-    span = text[:200]
-    a = {text[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(text)).tolist() if p + shared_spans.BLOCK <= 200}
-    b = {span[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(span)).tolist()}
-    assert b and b <= a
-
-
-def test_mix_of_short_and_long_documents(spark):
-    """Every source is within one block of its share at every time, however long the documents of others are."""
-    rng = random.Random(9)
-    rows = [(i, "a", 1) for i in range(500)] + [(1000 + i, s, 100) for i, s in enumerate("bcdef")]
-    rows += [(2000 + i, "g", 1) for i in range(2000)] + [(5000 + i, s, rng.randint(1, 300)) for s in "hijklm" for i in range(1000 * "hijklm".index(s), 1000 * "hijklm".index(s) + 8)]
-    targets = [(1, "a", 0.5, 1)] + [(1, s, 0.1, 1) for s in "bcdef"] + [(2, "g", 0.4, 3)] + [(2, s, 0.1, 3) for s in "hijklm"]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets).toPandas()
-    for mix in (1, 2):
-        share = {s: w for m, s, w, _ in targets if m == mix}
-        mine = out[out.mix_id == mix].sort_values("position")
-        assert list(mine.position) == list(range(len(mine))) and set(mine.source) == set(share)
-        got, total, block = dict.fromkeys(share, 0), 0, mine.tokens.max()
-        for r in mine.itertuples():
-            got[r.source] += r.tokens
-            total += r.tokens
-            assert all(abs(got[s] - share[s] * total) <= block for s in share)
-
-
-def test_clean_keeps_code_and_formulas(spark, sf_dir):
-    """Bodies of code and formula environments come out as they are, fenced or between dollar signs."""
-    assert markup.clean_body("lstlisting", "  <b>x</b>\n# y\n") == "```\n  <b>x</b>\n# y\n```" and markup.clean_body("minted", "```\na") == "````\n```\na\n````"
-    assert markup.clean_body("align", " a &= b \\\\ c ") == "$$a &= b \\\\ c$$" and markup.clean_body("quote", "<b>x</b>") == "x" and markup.clean_body("verbatim", None) is None
-    nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("kind = 'environment' and body is not null")
-    got = queries.p6_clean(spark, sf_dir).where("field = 'nodes.body' and text is not null")
-    assert got.count() == nodes.count()
-    code = nodes.where("name in ('verbatim', 'lstlisting', 'minted')").select("node_uid").distinct()
-    out = got.join(code, got["row_id"] == code["node_uid"]).collect()
-    assert out and all(r["text"].startswith("```\n") and r["text"].endswith("\n```") for r in out)
 @pytest.mark.parametrize("most_in_task", [2048, 1])
 def test_shared_amounts_of_repeated_passages(spark, most_in_task):
     """Every copy of a passage counts, however often a document repeats it."""
@@ -371,3 +366,23 @@ def test_shared_amounts_of_repeated_passages(spark, most_in_task):
     assert {r["doc_id"]: r["n_spans"] for r in got if r["doc_id"] < 3} == {d: s for d, (_, s) in want.items() if d < 3}
 
 
+@given(st.text("ab", min_size=200, max_size=420), st.integers(0, 100))
+@settings(max_examples=60, deadline=None)
+def test_every_span_holds_the_same_block(text, cut):
+    """A block of any 200 characters is chosen alike wherever they occur."""
+    span = text[:200]
+    a = {text[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(text)).tolist() if p + shared_spans.BLOCK <= 200}
+    b = {span[p : p + shared_spans.BLOCK] for p in shared_spans.places(shared_spans.points(span)).tolist()}
+    assert b and b <= a
+
+
+def test_clean_keeps_code_and_formulas(spark, sf_dir):
+    """Bodies of code and formula environments come out as they are, fenced or between dollar signs."""
+    assert markup.clean_body("lstlisting", "  <b>x</b>\n# y\n") == "```\n  <b>x</b>\n# y\n```" and markup.clean_body("minted", "```\na") == "````\n```\na\n````"
+    assert markup.clean_body("align", " a &= b \\\\ c ") == "$$a &= b \\\\ c$$" and markup.clean_body("quote", "<b>x</b>") == "x" and markup.clean_body("verbatim", None) is None
+    nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("kind = 'environment' and body is not null")
+    got = queries.p6_clean(spark, sf_dir).where("field = 'nodes.body' and text is not null")
+    assert got.count() == nodes.count()
+    code = nodes.where("name in ('verbatim', 'lstlisting', 'minted')").select("node_uid").distinct()
+    out = got.join(code, got["row_id"] == code["node_uid"]).collect()
+    assert out and all(r["text"].startswith("```\n") and r["text"].endswith("\n```") for r in out)
