@@ -2,11 +2,11 @@
 
 A name becomes a key: for a person the family name in one alphabet and the
 given name, resolved by a table of given names, or an initial; for an
-organisation its place name and the beginnings of its other words. Keys are
-blocked on suffixes of the family or place name, read in both directions so that
-a typo anywhere leaves one half whole, short ones on themselves with one letter
-left out; candidates are compared by the ratio of
-their longest common subsequence and must be one slip of the hand apart.
+organisation its place name and the beginnings of its other words, and all its
+words in alphabetical order. Keys are blocked on suffixes of the family or place
+name, read in both directions so that a typo anywhere leaves one half whole,
+short ones on themselves with one letter left out. Overly common blocks are
+refined, never dropped. The ratio of the longest common subsequence decides.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,13 @@ from inkstream.llm.staging import written
 LEAST_SUFFIX = 4
 MOST_IN_BLOCK = 200
 LEAST_RATIO = 0.8
+#: Rows of the table of given names, which every task holds, at most.
+GIVEN_ROWS = 100_000
 
 #: Titles before or after names, suffixes of names, words for kinds of organisations, and words that say nothing.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir ing eng dipl herr frau mme mlle دکتر مهندس سید سیده استاد پروفسور آقای خانم جناب دكتر".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md".split())
-ORGANISATIONS = frozenset("institute institut inst university universität université univ centre center ctr cntr laboratory lab laboratoire society soc school department dept academy college faculty association assoc ltd inc gmbh company co".split())
+ORGANISATIONS = frozenset("institute institut inst university universität université univ centre center ctr cntr laboratory lab laboratoire society soc school department dept academy college faculty association assoc ltd inc gmbh company co organization organisation foundation council committee commission consortium ministry agency bureau museum library press hospital observatory".split())
 FILLERS = frozenset("the of for at and in de des du der die das für la le et & an".split())
 #: Abbreviations that are not the beginning of the word.
 ABBREVIATIONS = {"ctr": "centre", "cntr": "centre", "center": "centre", "dept": "department"}
@@ -57,18 +60,40 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with the letters of ``a`` as bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        hit = open_ & at.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return len(a) - open_.bit_count()
+
+
 def common_ratio(a: str, b: str) -> float:
     """Length of the longest common subsequence over the mean length; 1 for two empty strings."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def least_ratio(a: str, b: str) -> float:
+    """The ratio that one wrong, missing or misplaced letter of the longer word leaves, LEAST_RATIO at least."""
+    return max(LEAST_RATIO, 2 * (max(len(a), len(b)) - 1) / max(len(a) + len(b), 1))
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two words are spellings of one by the ratio of their common subsequence."""
+    return a == b or (abs(len(a) - len(b)) < 2 and common_ratio(a, b) >= least_ratio(a, b))
+
 
+def shortened(word: str) -> set[str]:
+    """``word`` and what it is with one letter left out: two words that differ by one letter share one."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
+
+@lru_cache(1 << 16)
 def plain(text: str) -> str:
     """Case and marks set aside; letters that are written with their mark as one character in Persian stay."""
     kept = (c for c in unicodedata.normalize("NFD", text.casefold().replace("\u200c", "")) if not unicodedata.combining(c) or c in "\u0653\u0654")
@@ -85,9 +110,15 @@ def to_latin(word: str, persian: bool = False) -> str:
 
 
 class GivenNames:
-    """Given names with their short and Latin forms, from a table of bounded size."""
+    """Given names with their short and Latin forms, from a table of at most GIVEN_ROWS rows; more raise an error.
+
+    Forms are indexed by what they are with one letter left out, so a word is
+    compared with the few forms that share one of these with it.
+    """
 
     def __init__(self, rows: list[tuple[str | None, str | None, str | None]]):
+        if len(rows) > GIVEN_ROWS:
+            raise ValueError(f"the table of given names has more than {GIVEN_ROWS} rows")
         self.exact: dict[str, str] = {}
         self.persian: set[str] = set()
         self.forms: dict[str, str] = {}
@@ -103,6 +134,7 @@ class GivenNames:
         for form, canonical in list(self.forms.items()):
             self.forms.setdefault(to_latin(form), canonical)
         self.cache: dict[str, str | None] = {}
+        self.near_exact, self.near_forms = _index(self.exact), _index(self.forms)
 
     def resolve(self, word: str) -> str | None:
         """The canonical given name of ``word`` as written, allowing one slip in three letters or more, if there is just one."""
@@ -119,22 +151,37 @@ class GivenNames:
         if bare == word and bare in self.forms:
             return self.forms[bare]
         marks = {c for c in word if c > "\x7f"}
-        for form, table in ((word, self.exact), (bare, self.forms), (to_latin(bare), self.forms)):
+        for form, table, index in ((word, self.exact, self.near_exact), (bare, self.forms, self.near_forms), (to_latin(bare), self.forms, self.near_forms)):
             if len(form) < 3:
                 continue
-            near = [(f, c) for f, c in table.items() if len(f) > 2 and one_slip(form, f)]
+            near = [(f, table[f]) for f in {f for s in shortened(form) for f in index.get(s, ())} if one_slip(form, f)]
             for narrower in (lambda f: True, lambda f: {c for c in f if c > "\x7f"} == marks, lambda f: len(f) > 4, lambda f: f[0] == form[0]):
                 near = [x for x in near if narrower(x[0])] or near
                 if len({c for _, c in near}) == 1:
                     return near[0][1]
         return self.forms.get(bare)
 
-    def starting(self, initial: str) -> set[str]:
-        """Canonical names that have a form beginning with ``initial``."""
-        return {c for f, c in self.forms.items() if f.startswith(initial)}
+
+def _index(forms: dict[str, str]) -> dict[str, list[str]]:
+    """The forms of more than two letters by each of their :func:`shortened`."""
+    out: dict[str, list[str]] = {}
+    for form in forms:
+        if len(form) > 2:
+            for s in shortened(form):
+                out.setdefault(s, []).append(form)
+    return out
+
+
+_LONG_ORGANISATIONS = _index({w: w for w in ORGANISATIONS if len(w) > 6})
 
 
-#: A key: kind (p or o), family or place, given name or words (null if only an initial is known), initial.
+@lru_cache(1 << 16)
+def _is_kind(word: str) -> bool:
+    """Whether ``word`` (plain) is a kind of organisation, allowing one slip in seven letters or more."""
+    return word in ORGANISATIONS or (len(word) > 6 and any(one_slip(word, o) for s in shortened(word) for o in _LONG_ORGANISATIONS.get(s, ())))
+
+
+#: A key: kind (p or o, w for an organisation's words), family or place, given name or words (null if only an initial is known), initial.
 Key = tuple[str, str, str | None, str | None]
 
 
@@ -147,13 +194,16 @@ def key_of(name: str | None, givens: GivenNames) -> Key | None:
     text = unicodedata.normalize("NFKC", one_form(name, True)).casefold().replace("\u200c", "")
     written_words = _WORD.findall(text)
     words = [plain(w) for w in written_words]
-    if any(w in ORGANISATIONS for w in words) or any(len(w) > 6 and any(one_slip(w, o) for o in ORGANISATIONS if len(o) > 6) for w in words):
+    if any(map(_is_kind, words)):
         return _organisation(words)
     words = [w for w in written_words if plain(w) not in TITLES and plain(w) not in SUFFIXES] or written_words
     full = [w for w in words if len(w) > 1]
     if not full:
         return None
     given_at = [i for i, w in enumerate(full) if givens.resolve(w)]
+    if len(full) > 2 and len(full) == len(words) and not given_at and not re.search("[,،]", text):
+        # three words or more, none of them a given name or an initial
+        return _organisation([plain(w) for w in full])
     if len(full) > 1 and given_at:
         # the surest given name is the one written exactly; the family is the longest other word
         at = min(given_at, key=lambda i: (plain(full[i]) not in givens.forms, i))
@@ -171,11 +221,11 @@ def key_of(name: str | None, givens: GivenNames) -> Key | None:
 
 
 def _organisation(words: list[str]) -> Key | None:
-    """Place: the longest word that is no common word's beginning; the rest by their first three letters, sorted."""
+    """Place: of the words that are no kind of organisation, the first, or the last if the kind comes first; the rest by their first three letters, sorted."""
     words = [ABBREVIATIONS.get(w, w) for w in words if w not in FILLERS]
     if not words:
         return None
-    kinds = [i for i, w in enumerate(words) if w in ORGANISATIONS or any(len(w) > 6 and one_slip(w, o) for o in ORGANISATIONS if len(o) > 6)]
+    kinds = [i for i, w in enumerate(words) if _is_kind(w)]
     others = [i for i in range(len(words)) if i not in kinds] or [0]
     # "Place Institute for ..." or "Institute for ... at Place"
     place = others[-1] if kinds and kinds[0] == 0 else others[0]
@@ -183,6 +233,18 @@ def _organisation(words: list[str]) -> Key | None:
     return "o", words[place], " ".join(rest), None
 
 
+def keys_of(name: str | None, givens: GivenNames) -> list[Key]:
+    """The keys of one written name: :func:`key_of`, and for an organisation all its words in alphabetical order, whatever order they are written in."""
+    key = key_of(name, givens)
+    if key is None or key[0] != "o":
+        return [key] if key else []
+    from inkstream.llm.lookalikes import one_form
+
+    text = unicodedata.normalize("NFKC", one_form(name, True)).casefold().replace("\u200c", "")
+    words = sorted(w for w in map(plain, _WORD.findall(text)) if w not in FILLERS)
+    return [key, ("w", " ".join(words), "", None)]
+
+
 def single_authors(entries: DataFrame) -> DataFrame:
     """(mention, name) of the ``entries`` (bib_id, author) whose author holds exactly one name."""
 
@@ -203,32 +265,36 @@ def single_authors(entries: DataFrame) -> DataFrame:
 
 
 def mention_keys(mentions: DataFrame, givens: GivenNames) -> DataFrame:
-    """``mentions`` (mention, name) with the columns kind, family, given, initial; names without a key have nulls."""
+    """(mention, kind, family, given, initial): the keys of ``mentions`` (mention, name); names without a key have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            keys = [key_of(n, givens) or (None, None, None, None) for n in coded.dictionary.to_pylist()]
-            parts = [pa.array([k[i] for k in keys], pa.string()).take(coded.indices) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["mention", "kind", "family", "given", "initial"])
+            keys = [keys_of(n, givens) for n in coded.dictionary.to_pylist()]
+            rows, found = [], []
+            for i, k in enumerate(coded.indices.to_pylist()):
+                for key in keys[k] if k is not None else ():
+                    rows.append(i)
+                    found.append(key)
+            columns = zip(*found, strict=True) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["mention", "kind", "family", "given", "initial"])
 
     return mentions.select("mention", "name").mapInArrow(run, "mention string, kind string, family string, given string, initial string")
 
 
 def _compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the candidate pairs whose families are one slip and LEAST_RATIO apart at most."""
+    """Keeps the candidate pairs whose families are alike by the ratio of their common subsequence."""
     for batch in batches:
-        a, b = (batch.column(i).to_pylist() for i in (0, 1))
-        mask = [one_slip(x, y) and common_ratio(x, y) >= LEAST_RATIO for x, y in zip(a, b, strict=True)]
-        yield batch.filter(pa.array(mask, pa.bool_()))
+        a, b = (batch.column(i).to_pylist() for i in (1, 3))
+        yield batch.filter(pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
 
 def _blocks(family: Column) -> Column:
     """The suffix of half the word and its counterpart from the other end, LEAST_SUFFIX letters at least; of short words the :func:`_slips`.
 
     A slip may leave no LEAST_SUFFIX letters whole in a word of at most twice
-    as many, so those are also blocked exactly. Two words one slip apart share
-    a block.
+    as many, so those are also blocked exactly. Two words with one letter
+    wrong, missing or swapped with its neighbour share a block.
     """
     half = F.greatest(F.lit(LEAST_SUFFIX), F.floor((F.length(family) - 2) / 2).cast("int"))
     shorter = F.greatest(F.lit(LEAST_SUFFIX), half - 1)
@@ -239,56 +305,71 @@ def _blocks(family: Column) -> Column:
 
 
 def _slips(family: Column) -> Column:
-    """``family`` with each one of its letters left out, and itself: two words one slip apart share one."""
+    """``family`` with each one of its letters left out, and itself."""
     return F.array_distinct(F.concat(F.array(family), F.transform(F.sequence(F.lit(1), F.greatest(F.length(family), F.lit(1))), lambda i: F.concat(F.expr("''"), F.substring(family, F.lit(1), i - 1), F.substring(family, i + 1, F.length(family))))))
 
 
-def near_families(keys: DataFrame) -> DataFrame:
-    """(family, other, kind, given): keys of one kind and given name whose families are one slip apart.
+def near_families(keys: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(id, family, other_id, other): keys of one kind and given name whose families are alike, among ``keys`` or between them and ``others``.
 
-    ``keys`` (kind, family, given) are distinct. A block with more than
+    Both (id, kind, family, given) are distinct. A block with more than
     MOST_IN_BLOCK keys is refined by the word with one letter left out, which
-    is exact for one slip; no block is dropped.
+    two words that are alike share; no block is dropped.
     """
-    blocked = keys.select("kind", "family", "given", F.explode(_blocks(F.col("family"))).alias("block"))
-    sizes = blocked.groupBy("kind", "given", "block").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    same = others is None
+    sided = keys.withColumn("side", F.lit(3 if same else 1))
+    if others is not None:
+        sided = sided.unionByName(others.withColumn("side", F.lit(2)))
+    blocked = sided.select("id", "kind", "family", "given", "side", F.explode(_blocks(F.col("family"))).alias("block"))
+    # only blocks with keys of both sides, two keys at least
+    sizes = blocked.groupBy("kind", "given", "block").agg(F.count("*").alias("n"), F.bit_or("side").alias("sides")).where("n > 1 and sides = 3").drop("sides")
     blocked = blocked.join(sizes, ["kind", "given", "block"])
-    few = blocked.where(F.col("n") <= MOST_IN_BLOCK).drop("n")
-    many = blocked.where(F.col("n") > MOST_IN_BLOCK).select("kind", "family", "given", F.explode(_slips(F.col("family"))).alias("slip"), "block")
-    many = many.select("kind", "family", "given", F.concat_ws("|", "block", "slip").alias("block"))
-    both = written(few.unionByName(many))  # a self-join would plan all of this twice
-    pairs = both.join(both.withColumnRenamed("family", "other"), ["kind", "given", "block"]).where("family < other").select("family", "other", "kind", "given").distinct()
-    return pairs.mapInArrow(_compatible, "family string, other string, kind string, given string")
+    refined = F.when(F.col("n") <= MOST_IN_BLOCK, F.array(F.lit(""))).otherwise(F.transform(_slips(F.col("family")), lambda s: F.concat(F.lit("|"), s)))
+    blocked = blocked.select("id", "kind", "family", "given", "side", "block", F.explode(refined).alias("slip"))
+    both = written(blocked)  # a self-join would plan all of this twice
+    left, right = both.where("side in (1, 3)").drop("side"), both.where("side in (2, 3)").drop("side").withColumnsRenamed({"family": "other", "id": "other_id"})
+    found = left.join(right, ["kind", "given", "block", "slip"]).where("id < other_id" if same else "family <> other")
+    return found.select("id", "family", "other_id", "other").distinct().mapInArrow(_compatible, "id bigint, family string, other_id bigint, other string")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b).
 
-    Labels and shortcuts spread by joins; every round's table is written to the
-    shared folder. Ends when no label changes; components of depth 2**rounds
-    would be needed to end early.
+    Labels spread along edges and jump to their own label's label, so a chain of
+    n nodes takes about log n rounds; every round's table is written to the
+    shared folder. Ends when no label changes; it is an error if 64 rounds don't
+    do.
     """
-    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))
+    ways = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("next")) for a, b in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))))
     both = written(edges.where("a <> b").select(F.inline(ways)).distinct())
-    label = written(both.groupBy("node").agg(F.min("next").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("next"), "root"), "next").groupBy("node").agg(F.min("root").alias("m"))
-        new = label.join(seen, "node").select("node", F.least("root", "m").alias("new"), "root")
+    label = written(both.groupBy("node").agg(F.min("next").alias("root")))
+    for _ in range(64):
+        own = F.max(F.when(F.col("node") == F.col("next"), F.col("root"))).alias("old")
+        new = both.join(label.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("root").alias("new"), own)
         # a label's own label is a shortcut
-        new = new.join(label.select(F.col("node").alias("new"), F.col("root").alias("jump")), "new", "left")
-        new = written(new.select("node", F.coalesce(F.least("new", "jump"), "new").alias("root"), F.col("root").alias("old")))
+        new = new.join(label.select(F.col("node").alias("new"), F.col("root").alias("jump")), "new")
+        new = written(new.select("node", F.least("new", "jump").alias("root"), "old"))
         label = new.select("node", "root")
         if not new.where("root <> old").take(1):
-            break
-    return label
+            return label
+    raise RuntimeError("labels of components still change after 64 rounds")
+
 
+def numbered(mentions: DataFrame, givens: GivenNames) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, family, given) of every distinct key, and (mention, kind, id): the keys of every mention.
 
-def _key_column() -> Column:
-    return F.concat_ws("|", "kind", "family", "given")
+    An initial in place of a given name is a key of kind i. Numbers are given
+    once and written, so what follows joins and compares integers.
+    """
+    short = F.col("given").isNull()
+    kind, given = F.when(short, F.lit("i")).otherwise(F.col("kind")), F.when(short, F.coalesce("initial", F.lit(""))).otherwise(F.col("given"))
+    keyed = written(mention_keys(mentions, givens).select("mention", kind.alias("kind"), "family", given.alias("given")).distinct())
+    keys = written(keyed.select("kind", "family", "given").distinct().withColumn("id", F.monotonically_increasing_id()).select("id", "kind", "family", "given"))
+    return keys, written(keyed.join(keys, ["kind", "family", "given"]).select("mention", "kind", "id"))
 
 
 def linked(mentions: DataFrame, givens: GivenNames) -> DataFrame:
-    """(mention, entity) for ``mentions`` (mention, name, contact).
+    """(mention, entity) for ``mentions`` (mention, name, contact); mentions with the same number are of one entity.
 
     A mention may come in several rows with different names; ``contact`` is a
     value that belongs to one person only, or null. Mentions without a name
@@ -296,57 +377,58 @@ def linked(mentions: DataFrame, givens: GivenNames) -> DataFrame:
     one member of their family that it fits; if several fit, a contact decides,
     and without one they stay by themselves.
     """
-    keyed = written(mention_keys(mentions, givens).where("kind is not null").distinct())
-    full = keyed.where("given is not null").withColumn("key", _key_column())
-    keys = written(full.select("kind", "family", "given", "key").distinct())
-    near = near_families(keys.select("kind", "family", "given"))
-    edges = near.select(F.concat_ws("|", "kind", "family", "given").alias("a"), F.concat_ws("|", "kind", "other", "given").alias("b"))
-    # two names of one mention are one person's
-    first = full.groupBy("mention").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.first("kind").alias("kind"))
-    edges = edges.unionByName(first.where("a < b").select("a", "b"))
+    keys, keyed = numbered(mentions, givens)
+    full = keyed.where("kind <> 'i'")
+    near = near_families(keys.where("kind in ('p', 'o')"))
+    edges = near.select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+    # all names of one mention are one entity's
+    first = full.groupBy("mention").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mention", "a")
+    edges = edges.unionByName(first.join(full, "mention").select("a", F.col("id").alias("b")).where("a <> b"))
     contact = mentions.where("contact is not null").select("mention", "contact").distinct()
     # so are the names of one contact
-    by_contact = full.where("kind = 'p'").select("mention", "key").join(contact, "mention").select("contact", "key").distinct()
-    hub = written(by_contact.groupBy("contact").agg(F.min("key").alias("hub")))
-    edges = edges.unionByName(by_contact.join(hub, "contact").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-    # keys that differ in the given name only by a slip that the table doesn't know
-    label = components(edges)
-    rooted = written(keys.join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "kind", "family", "given", F.coalesce("root", "key").alias("entity")))
-    named = full.join(rooted.select("key", "entity"), "key").groupBy("mention").agg(F.min("entity").alias("entity"))
-    short = keyed.where("given is null").select("mention", "family", F.coalesce("initial", F.lit("")).alias("initial")).join(named, "mention", "left_anti")
-    short = written(short)
-    resolved = _by_initial(short.select("family", "initial").distinct(), rooted.where("kind = 'p'"), givens)
-    hubs = hub.join(rooted.select(F.col("key").alias("hub"), "entity"), "hub").select("contact", F.col("entity").alias("by_contact"))
-    contacts = contact.join(hubs, "contact").groupBy("mention").agg(F.min("by_contact").alias("by_contact"))
-    own = F.concat_ws("|", F.lit("i"), "family", "initial")
-    rest = short.join(contacts, "mention", "left").join(resolved, ["family", "initial"], "left")
-    rest = rest.groupBy("mention").agg(F.coalesce(F.min("by_contact"), F.min("by_name"), F.min(own)).alias("entity"))
+    by_contact = full.where("kind = 'p'").join(contact, "mention").select("contact", "id").distinct()
+    hub = by_contact.groupBy("contact").agg(F.min("id").alias("hub"))
+    edges = edges.unionByName(by_contact.join(hub, "contact").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    rooted = written(keys.where("kind <> 'i'").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("entity", F.coalesce("root", "id")).drop("root"))
+    entity_of = rooted.select("id", "entity")
+    named = full.join(entity_of, "id").groupBy("mention").agg(F.min("entity").alias("entity"))
+    short = keyed.where("kind = 'i'").join(full, "mention", "left_anti").select("mention", "id")
+    short = short.join(keys.where("kind = 'i'").select("id", F.concat_ws("|", "family", "given").alias("name")), "id")
+    resolved = _by_initial(keys.where("kind = 'i'"), rooted.where("kind = 'p'"), givens)
+    hubs = hub.join(entity_of.withColumnRenamed("id", "hub"), "hub").select("contact", F.col("entity").alias("by_contact"))
+    # of several contacts or names the smallest one counts: numbers differ from run to run
+    contacts = contact.join(hubs, "contact").groupBy("mention").agg(F.min_by("by_contact", "contact").alias("by_contact"))
+    rest = short.join(resolved, "id", "left").groupBy("mention").agg(F.min_by("by_name", F.when(F.col("by_name").isNotNull(), F.col("name"))).alias("by_name"), F.min_by("id", "name").alias("own"))
+    rest = rest.join(contacts, "mention", "left").select("mention", F.coalesce("by_contact", "by_name", "own").alias("entity"))
     return named.unionByName(rest)
 
 
-def _by_initial(short: DataFrame, rooted: DataFrame, givens: GivenNames) -> DataFrame:
-    """(family, initial, by_name): the only entity of the family, or of one a slip apart, that the initial fits."""
-    initials = sorted({f[0] for f in givens.forms})
-    pairs = [(i, g) for i in initials for g in sorted(givens.starting(i))]
-    table_names = sorted({g for _, g in pairs})
-    spark = short.sparkSession
-    fits = F.broadcast(spark.createDataFrame(pairs, "initial string, given string"))  # bounded by the table of given names
-    members = rooted.select("family", "given", "entity")
-    # every member under each initial that fits its given name, and under none
-    known = members.join(fits, "given").select("family", "initial", "entity")
-    other = members.select("family", F.explode(F.when(F.col("given").isin(*table_names), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.substring("given", 1, 1)))).alias("initial"), "entity")
-    fitting = written(known.unionByName(other).groupBy("family", "initial").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("by_name")))
-    found = written(short.join(fitting, ["family", "initial"], "left"))
-    done = found.where("n = 1").select("family", "initial", "by_name")
+def _by_initial(short: DataFrame, members: DataFrame, givens: GivenNames) -> DataFrame:
+    """(id, by_name) of the keys ``short``: the only entity of the family, or of a family alike, that the initial fits."""
+    fits: dict[str, set[str]] = {}
+    for form, canonical in givens.forms.items():
+        fits.setdefault(canonical, set()).add(form[0])
+    table = short.sparkSession.createDataFrame([(g, sorted(i)) for g, i in sorted(fits.items())], "given string, initials array<string>")
+    # GIVEN_ROWS rows at most; every member under each initial that fits its given name, and under none
+    initials = F.concat(F.array(F.lit("")), F.coalesce("initials", F.array(F.substring("given", 1, 1))))
+    fitting = members.join(F.broadcast(table), "given", "left").select("family", F.explode(initials).alias("given"), "entity")
+    fitting = fitting.groupBy("family", "given").agg(F.min("entity").alias("by_name"), F.max("entity").alias("last"))
+    fitting = written(fitting.withColumn("kind", F.lit("i")).withColumn("id", F.monotonically_increasing_id()))
+    found = written(short.join(fitting.select("family", "given", "by_name", "last"), ["family", "given"], "left"))
+    done = found.where("by_name = last").select("id", "by_name")
     # a slip in the family of a name with an initial: compare with the families of the same initial
-    open_ = found.where("n is null and initial <> ''").select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given"))
-    wide = fitting.where("initial <> ''").select(F.lit("p").alias("kind"), "family", F.col("initial").alias("given"))
-    near = near_families(open_.unionByName(wide))
-    ways = F.array(F.struct(F.col("family").alias("short"), F.col("other").alias("family")), F.struct(F.col("other").alias("short"), F.col("family").alias("family")))
-    near = near.select(F.inline(ways), F.col("given").alias("initial")).join(fitting, ["family", "initial"])
-    near = near.groupBy(F.col("short").alias("family"), "initial").agg(F.max("n").alias("n"), F.min("by_name").alias("by_name"), F.max("by_name").alias("last"))
-    near = near.join(open_.select("family", F.col("given").alias("initial")), ["family", "initial"], "left_semi")
-    return done.unionByName(near.where("n = 1 and by_name = last").select("family", "initial", "by_name"))
+    key = ("id", "kind", "family", "given")
+    near = near_families(found.where("by_name is null and given <> ''").select(*key), fitting.where("given <> ''").select(*key))
+    near = near.select("id", "other_id").join(fitting.select(F.col("id").alias("other_id"), "by_name", "last"), "other_id")
+    near = near.groupBy("id").agg(F.min("by_name").alias("by_name"), F.max("last").alias("last"))
+    return done.unionByName(near.where("by_name = last").select("id", "by_name"))
+
+
+def entities(members: DataFrame) -> DataFrame:
+    """(mention, entity, n_mentions): every mention with the smallest mention of its entity and the entity's size."""
+    members = written(members)
+    sizes = members.groupBy("entity").agg(F.min("mention").alias("name"), F.count("*").alias("n_mentions"))
+    return members.join(sizes, "entity").select("mention", F.col("name").alias("entity"), "n_mentions")
 
 
 def pairs(members: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, names.GivenN
     people = people.withColumn("contact", F.when(F.col("contact") != "", F.col("contact"))).withColumn("name", F.explode(F.array("name", "name_en"))).drop("name_en")
     people = people.where("name is not null and trim(name) <> ''")
     entries = names.single_authors(spread(table(spark, sf_dir, "bib_entries").select("bib_id", "author")))
-    rows = table(spark, sf_dir, "given_names").orderBy("name_id").select("given", "short_form", "latin_form").limit(20_000).collect()
+    rows = table(spark, sf_dir, "given_names").orderBy("name_id").select("given", "short_form", "latin_form").limit(names.GIVEN_ROWS + 1).collect()  # one row too many is an error
     return people.unionByName(entries.withColumn("contact", F.lit(None).cast("string"))), names.GivenNames([tuple(r) for r in rows])
 
 
@@ -80,8 +80,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entity of every mention."""
-    return names.linked(*_mentions(spark, sf_dir))
+    """The entity of every mention, named by its smallest mention, and its size."""
+    return names.entities(names.linked(*_mentions(spark, sf_dir)))
 
 
 def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str]]:
