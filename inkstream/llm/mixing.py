@@ -4,8 +4,13 @@ Every drawn document is a block with a release time and a deadline on the
 mixture's time line of tokens: with weight w, the block that holds its source's
 tokens a to b may start at a / w and must end by b / w. Earliest deadline first
 among the released blocks then interleaves the sources so that each is within
-one (the largest) block of its share at every time. The order depends on all
-that was dealt before, so a mixture is dealt by one task, as a stream.
+one (the largest) block of its share at every time.
+
+The order depends on all that was dealt before, so the time line is cut into
+stretches of bounded size. A cut is a time before which a block belongs if its
+middle does; of the times that are tried behind every stretch's length, the one
+at which all sources are closest to their shares is taken. What was dealt up to
+a cut then follows from sums, and every stretch is dealt by itself.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from inkstream.llm.staging import written
 TASK_ROWS = 20_000
 #: Rows that are put out at once.
 BATCH_ROWS = 20_000
-#: Documents that close the gap between a source's whole documents in order and its quota, at most.
-CLOSERS = 4
+#: Rows of a mixture that one task deals, on average.
+STRETCH_ROWS = 50_000
+#: Times that are tried for a cut, half the largest block apart.
+CUTS = 128
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -60,30 +67,29 @@ def plan(totals: dict[str, int], targets: list[tuple[int, str, float, int]]) ->
     return out
 
 
-def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFrame:
+def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]], stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """(mix_id, position, source, doc_id, pass, tokens, release, deadline): the mixtures of ``sizes`` (doc_id, source, tokens).
 
     ``targets`` are the rows of a fixed table. Position counts a mixture's rows
     from 0 in the order they are to be read. A source is drawn in whole passes
     in a pseudo-random order, then from the start of that order as long as whole
     documents fit in its quota (one that doesn't is skipped), and then by the few
-    documents that come closest to what is left.
+    documents that come closest to what is left. About ``stretch_rows`` rows are
+    dealt by one task.
     """
     spark = sizes.sparkSession
-    schema = "mix_id bigint, position bigint, source string, doc_id bigint, pass int, tokens bigint, release double, deadline double"
     wanted = sorted({t[1] for t in targets if t[1] is not None})
-    docs = written(sizes.where(F.col("source").isin(wanted) & (F.col("tokens") > 0)).select(F.col("doc_id").cast("bigint"), "source", F.col("tokens").cast("bigint")))
-    sums = {r["source"]: (r["t"], r["n"]) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    quotas = [q for q in plan({s: t for s, (t, _) in sums.items()}, targets) if q[3] > 0]
+    docs = sizes.where(F.col("source").isin(wanted) & (F.col("tokens") > 0)).select(F.col("doc_id").cast("bigint"), "source", F.col("tokens").cast("bigint"))
+    sums = {r["source"]: r for r in docs.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("n"), F.max("tokens").alias("most")).collect()}
+    quotas = [q for q in plan({s: r["total"] for s, r in sums.items()}, targets) if q[3] > 0]
     if not quotas:
-        return spark.createDataFrame([], schema)
-    buckets = max(1, max(n for _, n in sums.values()) // TASK_ROWS)
-    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 33) * buckets / F.lit(float(1 << 31)))
-    docs = running_sum(docs.withColumn("bucket", F.floor("bucket")), ["source"], "bucket", ["h", "doc_id"], "tokens", "first")
-    drawn = None
-    rows = [(int(m), s, float(w), int(q), sums[s][0], int(t)) for m, s, w, q, t in quotas]
-    by_source = spark.createDataFrame(rows, "mix_id bigint, source string, share double, quota bigint, total bigint, size bigint")
-    drawn = docs.join(F.broadcast(by_source), "source")  # as many rows as the fixed table of targets
+        return spark.createDataFrame([], SCHEMA)
+    buckets = max(1, max(r["n"] for r in sums.values()) // TASK_ROWS)
+    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.floor(F.shiftrightunsigned("h", 33) * buckets / F.lit(float(1 << 31))))
+    placed = written(running_sum(docs, ["source"], "bucket", ["h", "doc_id"], "tokens", "first").drop("h", "bucket"))
+    rows = [(int(m), s, float(w), int(q), sums[s]["total"]) for m, s, w, q, _ in quotas]
+    by_source = spark.createDataFrame(rows, "mix_id bigint, source string, share double, quota bigint, total bigint")
+    drawn = placed.join(F.broadcast(by_source), "source")  # as many rows as the fixed table of targets
     drawn = drawn.withColumn("base", F.floor(F.col("quota") / F.col("total")).cast("int")).withColumn("rest", F.col("quota") - F.col("base") * F.col("total"))
     # the first document that doesn't fit in the last pass is skipped once, and those behind it move up
     over = drawn.where("first <= rest and first + tokens > rest and rest > 0").groupBy("mix_id", "source").agg(F.min(F.struct("first", "tokens")).alias("o")).collect()
@@ -95,17 +101,62 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]]) -> DataFra
     drawn = drawn.withColumn("moved", moved).withColumn("n", F.col("base") + fits.cast("int"))
     extra = _closers(drawn, quotas)
     passes = drawn.where("n > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("start", F.col("pass") * F.col("total") + F.col("first") - F.when(F.col("pass") == F.col("base"), F.col("moved")).otherwise(0))
-    drawn = passes.select("mix_id", "source", "doc_id", "pass", "tokens", "start")
+    drawn = passes.select("mix_id", "source", "doc_id", "pass", "tokens", "start", "share")
     if extra:
-        drawn = drawn.unionByName(spark.createDataFrame(extra, "mix_id bigint, source string, doc_id bigint, pass int, tokens bigint, start bigint"))
-    drawn = drawn.join(F.broadcast(by_source.select("mix_id", "source", "share", "size")), ["mix_id", "source"])
-    drawn = drawn.select("mix_id", "source", "doc_id", "pass", "tokens", "size", (F.col("start") / F.col("share")).alias("release"), ((F.col("start") + F.col("tokens")) / F.col("share")).alias("deadline"))
-    drawn = drawn.select("mix_id", "release", "deadline", "source", "doc_id", "pass", "tokens")
-    return drawn.repartition("mix_id").sortWithinPartitions("mix_id", "release", "deadline", "source", "doc_id", "pass").mapInArrow(_dealt, schema)
+        added = spark.createDataFrame(extra, "mix_id bigint, source string, doc_id bigint, pass int, tokens bigint, start bigint")
+        drawn = drawn.unionByName(added.join(F.broadcast(by_source.select("mix_id", "source", "share")), ["mix_id", "source"]))
+    drawn = drawn.select("mix_id", (F.col("start") / F.col("share")).alias("release"), ((F.col("start") + F.col("tokens")) / F.col("share")).alias("deadline"), "source", "doc_id", "pass", "tokens")
+    return _interleaved(drawn, quotas, sums, stretch_rows)
+
+
+SCHEMA = "mix_id bigint, position bigint, source string, doc_id bigint, pass int, tokens bigint, release double, deadline double"
+
+
+def _interleaved(drawn: DataFrame, quotas: list[tuple[int, str, float, int, int]], sums: dict, stretch_rows: int) -> DataFrame:
+    """The rows ``drawn`` in the order they are to be read, stretch by stretch."""
+    spark = drawn.sparkSession
+    sources = sorted({q[1] for q in quotas})
+    lines = []
+    for m in sorted({q[0] for q in quotas}):
+        mine = {s: (w, q) for k, s, w, q, _ in quotas if k == m}
+        step = max(sums[s]["most"] for s in mine) / 2
+        per_row = sum(q for _, q in mine.values()) / max(sum(q * sums[s]["n"] / sums[s]["total"] for s, (_, q) in mine.items()), 1)
+        lines.append((m, step, max(stretch_rows * per_row, 1.25 * CUTS * step), [mine[s][0] if s in mine else 0.0 for s in sources]))
+    line = F.broadcast(spark.createDataFrame(lines, "mix_id bigint, step double, length double, weights array<double>"))  # a row for each mixture
+    middle = (F.col("release") + F.col("deadline")) / 2
+    drawn = drawn.join(line.drop("weights"), "mix_id").withColumn("stretch", F.floor(middle / F.col("length")))
+    late = F.floor((middle - F.col("stretch") * F.col("length")) / F.col("step"))
+    drawn = drawn.withColumn("late", F.least(late, F.lit(CUTS)).cast("int")).drop("step", "length")
+    # what each source gave before every time that is tried, from sums: few rows for each stretch
+    given = F.array(*(F.coalesce(F.sum(F.when(F.col("source") == s, F.col("tokens"))), F.lit(0)) for s in sources))
+    tried = drawn.groupBy("mix_id", "stretch", "late").agg(given.alias("given"), F.count("*").alias("rows"))
+    each = [F.col("given")[i] for i in range(len(sources))]
+    whole = tried.groupBy("mix_id", "stretch").agg(F.array(*(F.sum(e) for e in each)).alias("given"), F.sum("rows").alias("rows"))
+    by_mix = W.partitionBy("mix_id").orderBy("stretch")
+    before = by_mix.rowsBetween(W.unboundedPreceding, -1)
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    whole = whole.select("mix_id", "stretch", F.array(*(sum_before(e, before) for e in each)).alias("given_before"), sum_before("rows", before).alias("rows_before"), F.coalesce(F.lag("stretch").over(by_mix) != F.col("stretch") - 1, F.lit(True)).alias("first"))
+    within = W.partitionBy("mix_id", "stretch").orderBy("late").rowsBetween(W.unboundedPreceding, -1)
+    tried = tried.join(whole, ["mix_id", "stretch"]).join(line.select("mix_id", "weights"), "mix_id")
+    so_far = F.array(*(sum_before(e, within) + F.col("given_before")[i] for i, e in enumerate(each)))
+    tried = tried.select("mix_id", "stretch", "late", "first", "weights", so_far.alias("given"), (F.col("rows_before") + sum_before("rows", within)).alias("position"))
+    tried = tried.withColumn("now", F.aggregate("given", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    off = F.array_max(F.zip_with("given", "weights", lambda g, w: F.abs(g - w * F.col("now"))))
+    # a stretch with none before it starts at its first row
+    cuts = tried.groupBy("mix_id", "stretch").agg(F.min(F.struct(F.when(F.col("first"), 0.0).otherwise(off).alias("off"), F.col("late"), F.col("now"), F.col("position"))).alias("c"))
+    follows = F.lead("stretch").over(by_mix) == F.col("stretch") + 1
+    heads = cuts.select("mix_id", "stretch", "c.now", "c.position", F.col("c.late").alias("since"), F.when(follows, F.lead("c.late").over(by_mix)).otherwise(0).alias("until"))
+    # rows before a cut belong to the stretch before, so both get those that may; each takes its own
+    ways = F.when((F.col("late") < CUTS) & (F.col("stretch") > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    sent = drawn.withColumn("next", F.explode(ways)).withColumn("stretch", F.col("stretch") - F.col("next"))
+    nothing = {c: F.lit(None) for c in ("release", "deadline", "source", "doc_id", "pass", "tokens", "late", "next")}
+    sent = sent.withColumns({c: F.lit(None).cast("bigint") for c in ("now", "position", "since", "until")}).unionByName(heads.withColumns(nothing))
+    sent = sent.select("mix_id", "stretch", "release", "deadline", "source", "doc_id", "pass", "tokens", "late", "next", "now", "position", "since", "until")
+    return sent.repartition("mix_id", "stretch").sortWithinPartitions("mix_id", "stretch", F.col("release").asc_nulls_first(), "deadline", "source", "doc_id", "pass").mapInArrow(_dealt, SCHEMA)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (mix_id, release) as they are to be read: of the blocks released by now, the one with the earliest deadline.
+    """Rows in the order of (mix_id, stretch, release), each stretch's head first, as they are to be read: of the blocks released by now, the one with the earliest deadline.
 
     Now is the number of tokens dealt. What is released and waits is held,
     which is about one block's tokens of each source. Where nothing is
@@ -113,12 +164,12 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     ready: list[tuple] = []
     out: list[tuple] = []
-    mix, now, position = None, 0, 0
+    at, now, position, since, until = None, 0, 0, 0, 0
 
     def deal() -> None:
         nonlocal now, position
         deadline, release, source, doc, turn, tokens = heapq.heappop(ready)
-        out.append((mix, position, source, doc, turn, tokens, release, deadline))
+        out.append((at[0], position, source, doc, turn, tokens, release, deadline))
         now, position = now + tokens, position + 1
 
     def take() -> pa.RecordBatch:
@@ -129,14 +180,17 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for m, release, deadline, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if m != mix:
+        for m, k, release, deadline, source, doc, turn, tokens, late, following, *head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if release is None:
                 while ready:
                     deal()
-                mix, now, position = m, 0, 0
+                at, (now, position, since, until) = (m, k), head
+                continue
+            if (m, k) != at or (late >= until if following else late < since):
+                continue  # another stretch's
             while ready and release > now * (1 + 1e-12) + 1e-9:
                 deal()
-            heapq.heappush(ready, (deadline, release, *row))
+            heapq.heappush(ready, (deadline, release, source, doc, turn, tokens))
             if len(out) >= BATCH_ROWS:
                 yield take()
     while ready:
@@ -145,32 +199,28 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _closers(drawn: DataFrame, quotas: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str, int, int, int, int]]:
-    """For each target up to CLOSERS more documents that bring its source closer to the quota.
+    """For each target the documents that bring its source closer to the quota.
 
     Each is the one that comes closest to what is left, among the documents
-    that the last pass hasn't reached; ties go to the smaller doc_id. All
-    results have a row for each target of the fixed table.
+    that the last pass hasn't reached; ties go to the smaller doc_id. It ends
+    when none comes closer. All results have a row for each target of the
+    fixed table.
     """
     spark = drawn.sparkSession
     done = {(r["mix_id"], r["source"]): r["t"] for r in drawn.groupBy("mix_id", "source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t")).collect()}
     gaps = {(int(m), s): int(q - done.get((m, s), 0)) for m, s, _, q, _ in quotas}
     out: list[tuple[int, str, int, int, int, int]] = []
-    for _ in range(CLOSERS):
-        open_ = [(m, s, g) for (m, s), g in gaps.items() if g > 0]
-        if not open_:
-            break
+    while open_ := [(m, s, g) for (m, s), g in gaps.items() if g > 0]:
         left = drawn.join(F.broadcast(spark.createDataFrame(open_, "mix_id bigint, source string, gap bigint")), ["mix_id", "source"])
         left = left.where("abs(tokens - gap) < gap and n = floor(quota / total)")
         if out:
             taken = spark.createDataFrame([r[:3] for r in out], "mix_id bigint, source string, doc_id bigint")
             left = left.join(F.broadcast(taken), ["mix_id", "source", "doc_id"], "left_anti")
         best = left.groupBy("mix_id", "source", "quota").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), "doc_id", "n", "tokens")).alias("b")).collect()
-        if not best:
-            break
         for r in best:
             key = (r["mix_id"], r["source"])
             out.append((*key, r["b"]["doc_id"], r["b"]["n"], r["b"]["tokens"], r["quota"] - gaps[key]))
-            gaps[key] -= r["b"]["tokens"]
+        gaps = {(r["mix_id"], r["source"]): gaps[r["mix_id"], r["source"]] - r["b"]["tokens"] for r in best}
     return out
 
 

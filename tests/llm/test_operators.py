@@ -340,13 +340,16 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
-def test_mix_of_short_and_long_documents(spark):
-    """Every source is within one block of its share at every time, however long the documents of others are."""
+@pytest.mark.parametrize("rows_of_stretch", [mixing.STRETCH_ROWS, 50])
+def test_mix_of_short_and_long_documents(spark, monkeypatch, rows_of_stretch):
+    """Every source is within one block of its share at every time, however long the documents of others are and wherever it is cut."""
+    monkeypatch.setattr(mixing, "CUTS", 10)
     rng = random.Random(9)
     rows = [(i, "a", 1) for i in range(500)] + [(1000 + i, s, 100) for i, s in enumerate("bcdef")]
     rows += [(2000 + i, "g", 1) for i in range(2000)] + [(5000 + i, s, rng.randint(1, 300)) for s in "hijklm" for i in range(1000 * "hijklm".index(s), 1000 * "hijklm".index(s) + 8)]
     targets = [(1, "a", 0.5, 1)] + [(1, s, 0.1, 1) for s in "bcdef"] + [(2, "g", 0.4, 3)] + [(2, s, 0.1, 3) for s in "hijklm"]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets).toPandas()
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets, rows_of_stretch).toPandas()
+    assert not out.duplicated(["mix_id", "doc_id", "pass"]).any()
     for mix in (1, 2):
         share = {s: w for m, s, w, _ in targets if m == mix}
         mine = out[out.mix_id == mix].sort_values("position")
