@@ -190,6 +190,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and the number of links of each document that shares a span."""
+    return shared_spans.linked_classes(spread(shared_spans.of_table(spark, table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
@@ -210,6 +215,7 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p10_classes": p10_classes,
 }
 
 _P1 = """WITH c AS (SELECT bib_id, {canon} FROM bib_entries),

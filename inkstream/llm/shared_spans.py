@@ -11,15 +11,20 @@ agree exactly: hashes only propose, texts decide.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkstream.llm.components import components
+from inkstream.llm.staging import written
 from inkstream.llm.textchunks import points
 
 SPAN = 200
@@ -32,8 +37,10 @@ SIDE = SPAN - BLOCK
 PIECE = 1 << 17
 #: Occurrences of one block that one task compares; a block with more is compared by the distributed way.
 MOST_IN_TASK = 2048
-#: Bits of the filter that tells the second pass which blocks are shared: 64 or more for each shared block, between these bounds (at most 32 MB).
+#: Bits of the filter that tells the second pass which blocks are shared: 64 or more for each shared block, between these bounds (at most 32 MB). More shared blocks than fit are told by a join.
 FILTER_BITS = (1 << 20, 1 << 28)
+#: Bits of the filter that one task builds.
+CHUNK_BITS = 1 << 16
 _BASE = 0x9E3779B1
 
 
@@ -82,43 +89,69 @@ def _blocks(text: str) -> list[tuple[int, int]]:
 
 
 def block_index(docs: DataFrame) -> DataFrame:
-    """(block, n): blocks that occur in more than one of ``docs`` (doc_id, text), and their number of occurrences.
+    """(block, n): blocks that occur in more than one of ``docs`` (doc_id, text), and how often they occur in all, repeats in one document included.
 
     Aggregated before the shuffle, so a block that most documents share is one
     row a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            hashes, ids = [], []
+            out: tuple[list, ...] = ([], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {h for h, _ in _blocks(text.as_py() or "")} if doc is not None else ()
-                hashes += own
-                ids += [doc] * len(own)
-                if len(hashes) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64())], names=["block", "doc_id"])
-                    hashes, ids = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64())], names=["block", "doc_id"])
-
-    found = docs.mapInArrow(run, "block bigint, doc_id bigint")
-    found = found.groupBy("block").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi"), F.count("*").alias("n"))
+                own = Counter(h for h, _ in _blocks(text.as_py() or "")) if doc is not None else {}
+                out[0].extend(own)
+                out[1].extend([doc] * len(own))
+                out[2].extend(own.values())
+                if len(out[0]) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "n"])
+                    out = ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "n"])
+
+    found = docs.mapInArrow(run, "block bigint, doc_id bigint, n bigint")
+    found = found.groupBy("block").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi"), F.sum("n").alias("n"))
     return found.where("__lo < __hi").select("block", "n")
 
 
-def block_filter(index: DataFrame) -> np.ndarray:
-    """A bit field of bounded size with the bit of every indexed block set, built on the executors."""
-    n = index.count()
+def block_filter(index: DataFrame, n: int) -> np.ndarray:
+    """A bit field of bounded size with the bit of each of the ``n`` indexed blocks set, built in chunks on the executors."""
     bits = min(max(1 << (64 * max(n, 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     bit = F.pmod("block", F.lit(bits))
-    words = index.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(block, 64) as int))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+
+    def chunk(group: pd.DataFrame) -> pd.DataFrame:
+        field = np.zeros(CHUNK_BITS, np.uint8)
+        field[group["bit"].to_numpy() % CHUNK_BITS] = 1
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "field": [np.packbits(field, bitorder="little").tobytes()]})
+
+    chunks = index.select(bit.alias("bit"), F.floor(bit / CHUNK_BITS).alias("chunk")).groupBy("chunk").applyInPandas(chunk, "chunk bigint, field binary")
     field = np.zeros(bits // 64, np.uint64)
-    field[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    for at, part in chunks.collect():
+        words = CHUNK_BITS // 64
+        field[at * words : (at + 1) * words] = np.frombuffer(part, np.uint64)
     return field
 
 
-def occurrences(docs: DataFrame, field: np.ndarray) -> DataFrame:
-    """(block, doc_id, starts, lasts, before, after) for the blocks whose bit is set, with up to SIDE characters on each side.
+def marked(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``docs`` with the starts of their indexed blocks, by a join: for more blocks than a filter holds.
+
+    Only hashes and places are joined with the index. Texts are shuffled once,
+    to meet the places of their own document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _blocks(text.as_py() or "") if doc is not None else []
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in own], pa.int64()), pa.array([doc] * len(own), pa.int64()), pa.array([p for _, p in own], pa.int64())], names=["block", "doc_id", "start"])
+
+    found = docs.mapInArrow(run, "block bigint, doc_id bigint, start bigint").join(index.select("block"), "block", "left_semi")
+    # as many as the document's own length allows
+    return docs.join(found.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "doc_id")
+
+
+def occurrences(docs: DataFrame, field: np.ndarray | None) -> DataFrame:
+    """(block, doc_id, starts, lasts, before, after) for the blocks whose bit is set, or that ``docs`` has the starts of, with up to SIDE characters on each side.
 
     A block with the same sides is one row a document, wherever it stands:
     starts and lasts are the first and the last start of each run of starts at
@@ -129,16 +162,18 @@ def occurrences(docs: DataFrame, field: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        bits = len(words) * 64
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, (doc, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 text = value.as_py() or ""
                 blocks = _blocks(text) if doc is not None else []
                 if not blocks:
                     continue
-                at = np.array([h for h, _ in blocks], np.int64) % bits
-                hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+                if words is None:
+                    hit = np.isin([p for _, p in blocks], batch.column(2)[i].as_py())
+                else:
+                    at = np.array([h for h, _ in blocks], np.int64) % (len(words) * 64)
+                    hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
                 seen: dict[tuple[int, str, str], tuple[list[int], list[int]]] = {}
                 for i in np.flatnonzero(hit).tolist():
                     h, p = blocks[i]
@@ -309,21 +344,23 @@ def parse(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     takes up the places of the shared ones; texts are never shuffled, only the
     surroundings of shared blocks are.
     """
-    index = block_index(docs)
-    index = _written(index)
-    rows = occurrences(docs, block_filter(index))
+    index = written(block_index(docs))
+    n = index.count()
+    if n * 64 <= FILTER_BITS[1]:
+        rows = occurrences(docs, block_filter(index, n))
+    else:
+        rows = occurrences(marked(docs, index), None)
     hot = index.where(F.col("n") > most_in_task).select("block", F.lit(True).alias("__hot"))
     if not hot.take(1):
         return _compare(rows)
-    rows = _written(rows.join(hot, "block", "left"))
+    rows = written(rows.join(hot, "block", "left"))
     cold = _compare(rows.where("__hot is null"))
     return cold.unionByName(_compare_hot(rows.where("__hot").drop("__hot")))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    from inkstream.llm.staging import written
-
-    return written(df)
+def _sets(docs: DataFrame, most_in_task: int) -> DataFrame:
+    """(class, doc_id): sets of documents, each pair of which shares SPAN characters."""
+    return parse(docs, most_in_task).where("class is not null").select("class", "doc_id").distinct()
 
 
 def linked_pairs(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
@@ -332,24 +369,45 @@ def linked_pairs(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame
     Classes are made distinct before they are expanded; the expansion is a
     self-join whose hot classes the adaptive skew join splits.
     """
-    sets = parse(docs, most_in_task).where("class is not null").select("class", "doc_id").distinct()
+    sets = _sets(docs, most_in_task)
     a, b = sets.withColumnRenamed("doc_id", "doc_id_a"), sets.withColumnRenamed("doc_id", "doc_id_b")
     return a.join(b, "class").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
+def linked_classes(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """(doc_id, class_id, n_links): every document that shares a span, the smallest document it is connected with, and with how many it shares one.
+
+    Documents that are in the same sets are one group, whatever their number;
+    only groups are paired, so a text that a third of all documents share is
+    never expanded into pairs.
+    """
+    sets = written(_sets(docs, most_in_task))
+    sign = sets.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    same = sign.groupBy("n", "s", "lo", "hi").agg(F.min("doc_id").alias("group"), F.count("*").alias("size"))
+    groups = written(sign.join(same, ["n", "s", "lo", "hi"]).select("doc_id", "group", "size"))
+    heads = groups.where("doc_id = group").select("group", "size")
+    members = written(sets.join(heads.withColumnRenamed("group", "doc_id"), "doc_id").select("class", F.col("doc_id").alias("group"), "size"))
+    a, b = members.select("class", "group"), members.select("class", F.col("group").alias("other"), "size")
+    links = a.join(b, "class").select("group", "other", "size").distinct().groupBy("group").agg((F.sum("size") - 1).alias("n_links"))
+    first = members.groupBy("class").agg(F.min("group").alias("b"))
+    edges = members.join(first, "class").where("group <> b").select(F.col("group").alias("a"), "b")
+    label = components(edges).withColumnRenamed("node", "group")
+    out = groups.join(links, "group").join(label, "group", "left")
+    return out.select("doc_id", F.coalesce("root", "group").alias("class_id"), "n_links")
+
+
 def shared_amounts(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """(doc_id, n_spans, shared_chars, n_chars) for every document with a shared span.
 
-    Overlapping factors of a document are merged; their number is bounded by
-    the document's own length.
+    Factors of a document that overlap or touch are one span. They are taken in
+    order of their starts; their number is bounded by the document's own length.
     """
-    spans = parse(docs, most_in_task).where("class is null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("f"))
-    merged = F.expr(
-        "aggregate(f, cast(array() as array<struct<start:bigint,end:bigint>>), (m, x) -> if(size(m) > 0 and x.start <= element_at(m, -1).end, "
-        "concat(slice(m, 1, size(m) - 1), array(named_struct('start', element_at(m, -1).start, 'end', greatest(element_at(m, -1).end, x.end)))), concat(m, array(x))))"
-    )
-    spans = spans.select("doc_id", merged.alias("m")).select("doc_id", F.size("m").cast("bigint").alias("n_spans"), F.expr("aggregate(m, 0L, (n, x) -> n + x.end - x.start)").alias("shared_chars"))
-    sizes = docs.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    spans = parse(docs, most_in_task).where("class is null").select("doc_id", "start", "end").distinct()
+    reached = F.max("end").over(W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("reached", F.coalesce(reached, F.lit(-1)))
+    own = F.greatest(F.col("end") - F.greatest("start", "reached"), F.lit(0))
+    spans = spans.groupBy("doc_id").agg(F.count_if(F.col("start") > F.col("reached")).alias("n_spans"), F.sum(own).alias("shared_chars"))
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("n_chars"))
     return spans.join(sizes, "doc_id")
 
 

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; brute force on small inputs."""
 
+import collections
 import random
 
 import numpy as np
@@ -375,9 +376,10 @@ def _brute(texts):
     return {(a, b) for s in found.values() for a in s for b in s if a < b}
 
 
-@pytest.mark.parametrize("most_in_task", [2048, 1])
-def test_shared_spans(spark, most_in_task):
-    """All pairs and amounts of a brute-force comparison, by the common and by the distributed way."""
+@pytest.mark.parametrize(("most_in_task", "bits"), [(2048, 1 << 28), (1, 1 << 28), (2048, 1)])
+def test_shared_spans(spark, monkeypatch, most_in_task, bits):
+    """All pairs, classes and amounts of a brute-force comparison, by the common and by the distributed ways."""
+    monkeypatch.setattr(shared_spans, "FILTER_BITS", (1 << 20, bits))
     rng = random.Random(5)
     fresh = lambda n: "".join(rng.choice("abcdefgh آبپ\n") for _ in range(n))
     exact, below, long = fresh(200), fresh(199), fresh(900)
@@ -389,6 +391,23 @@ def test_shared_spans(spark, most_in_task):
     amounts = {r["doc_id"]: r["shared_chars"] for r in shared_spans.shared_amounts(df, most_in_task).collect()}
     assert amounts[1] == amounts[2] == 200 and amounts[5] == 900 and amounts[7] == 450 and amounts[12] == 250 and 3 not in amounts
     assert shared_spans.linked_pairs(df.limit(0)).count() == 0
+    pairs = _brute(texts)
+    classes = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in shared_spans.linked_classes(df, most_in_task).collect()}
+    assert {d: n for d, (_, n) in classes.items()} == dict(collections.Counter(d for p in pairs for d in p))
+    assert {d: c for d, (c, _) in classes.items()} == {1: 1, 2: 1, 5: 5, 6: 5, 7: 5, 8: 5, 11: 11, 12: 11} | {20 + i: 1 for i in range(8)}
+
+
+def test_a_block_repeated_in_few_documents(spark):
+    """One block stands 100,000 times in two documents that share nothing longer but one passage."""
+    rng = random.Random(7)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = fresh(185), fresh(300)
+    texts = {1: "".join(f"{line}{i * 7919 % 499:04d}" for i in range(75_000)) + passage, 2: passage + "".join(f"{line}{chr(65 + i % 19)}{chr(65 + i % 23)}x " for i in range(75_000)), 3: line + "-"}
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    index = {r["block"]: r["n"] for r in shared_spans.block_index(df).collect()}
+    assert max(index.values()) >= 100_000
+    assert {tuple(r) for r in shared_spans.linked_pairs(df).collect()} == {(1, 2)}
+    assert {r["doc_id"]: r["shared_chars"] for r in shared_spans.shared_amounts(df).collect()} == {1: 300, 2: 300}
 
 
 @pytest.mark.parametrize("most_in_task", [2048, 1])
