@@ -444,6 +444,19 @@ def test_every_span_holds_the_same_block(text, cut):
     assert b and b <= a
 
 
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("1. one\n2. two\n* x\n** b\n*** c", "1. one\n2. two\n- x\n  - b\n    - c"), ("<ol><li>a<li>b<ul><li>c</ul></ol>", "1. a\n2. b\n\n  - c"),
+        ("\\begin{enumerate}\\item a\n\\item b\\begin{itemize}\\item c\\end{itemize}\\end{enumerate}", "1. a\n\n2. b\n\n  - c"), ("\\textbf{x {y {z {w {q}}}}} end", "x y z w q end"),
+        ("\\section{A \\emph{b {c}}} see~\\cite{x} \\href{http://u}{la\\textbf{bel}} \\newcommand{\\R}[1]{x} ok \\{set\\}", "## A b c\n\n see label ok {set}"),
+        ("\\textbf{" * 50_000 + "x" + "}" * 50_000, "x"), ("a } \\emph{b", "a } {b"),
+    ],
+)
+def test_clean_keeps_lists_and_opens_groups(text, plain):
+    assert markup.clean(text) == plain
+
+
 def test_clean_keeps_code_and_formulas(spark, sf_dir):
     """Bodies of code and formula environments come out as they are, fenced or between dollar signs."""
     assert markup.clean_body("lstlisting", "  <b>x</b>\n# y\n") == "```\n  <b>x</b>\n# y\n```" and markup.clean_body("minted", "```\na") == "````\n```\na\n````"
