@@ -23,8 +23,8 @@ from inkstream.llm.textchunks import chunks, points
 FEATURES = 1 << 15
 CENTROIDS = 3
 FIT_ROWS = 20_000
-#: A segment is rejected below this share of the weakest cosine that a labelled segment has with its language.
-REJECT = 0.5
+#: A segment is rejected below this share of the weakest cosine that a labelled sentence has with its language: titles are shorter and less like the centroids than sentences.
+REJECT = 0.3
 #: A whole sentence has at least so many words and letters.
 SENTENCE = (4, 15)
 #: Segments classified at once; with FEATURES their keys fit 31 bits.
@@ -136,29 +136,40 @@ class Classifier:
 
     @staticmethod
     def fit(texts: list[str], langs: list[str], seed: int = 7) -> Classifier:
-        """Fits on labelled texts; each sentence is a training case."""
+        """Fits on labelled texts; each sentence is a training case. Memory grows with the texts, not with FEATURES for each sentence."""
         cases = [(s, lang) for text, lang in zip(texts, langs, strict=True) for s in sentences(text)]
         names = sorted({lang for _, lang in cases})
-        seg, feature, count, _ = vectors([s for s, _ in cases])
+        parts = [vectors([s for s, _ in cases[at : at + SEGMENTS]]) for at in range(0, len(cases), SEGMENTS)]
+        seg = np.concatenate([p[0].astype(np.int64) + i * SEGMENTS for i, p in enumerate(parts)])
+        feature, count = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         n = len(cases)
         idf = np.log((1 + n) / (1 + np.bincount(feature, minlength=FEATURES))).astype(np.float32) + 1
-        rows = np.zeros((n, FEATURES), np.float32)
-        rows[seg, feature] = (1 + np.log(count)) * idf[feature]
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        value = ((1 + np.log(count)) * idf[feature]).astype(np.float32)
+        value /= np.maximum(np.sqrt(np.bincount(seg, value.astype(np.float64) ** 2, n)), 1e-9)[seg]
         rng = np.random.default_rng(seed)
         centroids, owner, own = [], [], []
         label_of = np.array([names.index(lang) for _, lang in cases])
         for i in range(len(names)):
-            mine = rows[label_of == i]
-            k = min(CENTROIDS, len(mine))
-            centre = mine[rng.choice(len(mine), k, replace=False)]
+            members = np.flatnonzero(label_of == i)
+            at = np.flatnonzero(label_of[seg] == i)
+            row, f, v = np.searchsorted(members, seg[at]), feature[at], value[at]
+            k = min(CENTROIDS, len(members))
+
+            def mean(chosen: np.ndarray, row: np.ndarray = row, f: np.ndarray = f, v: np.ndarray = v) -> np.ndarray:
+                inside = chosen[row]
+                return np.bincount(f[inside], v[inside], FEATURES) / max(chosen.sum(), 1)
+
+            def cosines(centre: np.ndarray, row: np.ndarray = row, f: np.ndarray = f, v: np.ndarray = v, m: int = len(members)) -> np.ndarray:
+                return np.stack([np.bincount(row, c[f] * v, m) for c in centre], axis=1)
+
+            centre = np.stack([mean(np.arange(len(members)) == j) for j in rng.choice(len(members), k, replace=False)])
             for _ in range(15):
-                near = (mine @ centre.T).argmax(1)
-                centre = np.stack([mine[near == j].mean(0) if (near == j).any() else centre[j] for j in range(k)])
+                near = cosines(centre).argmax(1)
+                centre = np.stack([mean(near == j) if (near == j).any() else centre[j] for j in range(k)])
                 centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-            centroids.append(centre)
+            centroids.append(centre.astype(np.float32))
             owner += [i] * k
-            own.append((mine @ centre.T).max(1))
+            own.append(cosines(centre).max(1))
         return Classifier(names, idf, np.ascontiguousarray(np.concatenate(centroids).T), np.array(owner), float(REJECT * np.concatenate(own).min()))
 
     def classify(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +202,9 @@ class Classifier:
 
 
 def fit_on(samples: DataFrame, text: str = "text", lang: str = "lang") -> Classifier:
-    """A classifier fitted on at most FIT_ROWS labelled rows."""
-    rows = samples.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).limit(FIT_ROWS).collect()
+    """A classifier fitted on at most FIT_ROWS labelled rows: those with the smallest hashes, so the same ones every time."""
+    rows = samples.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = rows.orderBy(F.xxhash64(text), text, lang).limit(FIT_ROWS).collect()
     return Classifier.fit([r[0] for r in rows], [r[1] for r in rows])
 
 

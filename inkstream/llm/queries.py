@@ -127,14 +127,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, row_id, detected, confidence): the language of every document and of the title of every entry; null and 0 if there is none."""
+    """(field, row_id, detected, confidence): the language of every document, of its metadata and of the title of every entry; null and 0 if there is none.
+
+    Metadata have the language of their document's text; a record that is delivered twice comes out once.
+    """
     model = languages.fit_on(table(spark, sf_dir, "lang_samples"))
     docs = languages.document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", model)
     titles = languages.short_text_languages(spread(table(spark, sf_dir, "bib_entries").select("bib_id", "title")), "bib_id", "title", model)
     titles = titles.withColumn("confidence", F.when(F.col("detected").isNull(), 0.0).otherwise(F.col("confidence")))
-    return docs.select(F.lit("documents.lang").alias("field"), F.col("doc_id").alias("row_id"), "detected", "confidence").unionByName(
-        titles.select(F.lit("bib_entries.language").alias("field"), F.col("bib_id").alias("row_id"), "detected", "confidence")
-    )
+    meta = table(spark, sf_dir, "doc_metadata").select("doc_id", F.col("meta_id").alias("row_id"), F.lit("doc_metadata.lang").alias("field")).distinct()
+    # texts are classified once, for a document and its metadata
+    of_docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("row_id"), F.lit("documents.lang").alias("field")).unionByName(meta).join(docs, "doc_id", "left")
+    of_docs = of_docs.select("field", "row_id", "detected", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return of_docs.unionByName(titles.select(F.lit("bib_entries.language").alias("field"), F.col("bib_id").alias("row_id"), "detected", "confidence"))
 
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
