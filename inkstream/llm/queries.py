@@ -170,8 +170,13 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, their lower bound and the unused share for each capacity."""
-    specs = _specs(spark, sf_dir)
-    return packing.report(packing.pack(_sizes(spark, sf_dir), specs), specs)
+    sizes, specs = _sizes(spark, sf_dir), _specs(spark, sf_dir)
+    return packing.report(packing.pack(sizes, specs), sizes, specs)
+
+
+def p8_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and lower bound of every partition in every round of exchange."""
+    return packing.certificates(_sizes(spark, sf_dir), _specs(spark, sf_dir))
 
 
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +221,7 @@ QUERIES = {
     "p7_segments": p7_segments,
     "p8_packed": p8_packed,
     "p8_report": p8_report,
+    "p8_certificates": p8_certificates,
     "p9_mixed": p9_mixed,
     "p9_shares": p9_shares,
     "p10_found": p10_found,

@@ -316,6 +316,14 @@ def test_pack_frame(spark):
         assert (mine[mine.piece > 0].doc_id == 902).all()
         assert mine.container.nunique() <= 1.06 * -(-mine.tokens.sum() // capacity) + 1
     assert packing.pack(df.limit(0), [(1, 512)]).count() == 0 and packing.pack(df, []).count() == 0
+    specs = [(1, 512), (2, 2048)]
+    certificates = packing.certificates(df, specs, 60).toPandas()
+    assert (certificates.bound <= certificates.containers).all() and (certificates.certified == (certificates.bound == certificates.containers)).all()
+    assert (certificates[certificates.certified].exchanged == 0).all() and certificates["round"].max() > 0
+    kept = (certificates.containers - certificates.exchanged).groupby(certificates.spec_id).sum()
+    for r in packing.report(packing.pack(df, specs, 60), df, specs).collect():
+        # the whole pieces of the text above the capacity have containers of their own
+        assert r["containers"] == kept[r["spec_id"]] + 5000 // r["capacity"] and -(-r["tokens"] // r["capacity"]) <= r["least_containers"] <= r["containers"]
 
 
 def test_mix(spark):
