@@ -4,14 +4,15 @@ Text is brought to one form: compatibility normalisation composed, white space
 mapped to the plain space, default-ignorable characters removed (but for the
 zero-width non-joiner between two letters of the Persian script), look-alike
 letters mapped to the script of their word, and full case folding for keys.
-All work is done once per distinct value of a batch.
+All work is done once per distinct value of a batch, and of a task for short ones.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,16 +23,19 @@ ZWNJ = "‌"
 IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​‍-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 #: Spaces other than the plain one. Line breaks are ordinary.
 SPACES = "   -   　"
-#: Blocks of width, ligature and positional forms, and of mathematical letters.
-FORMS = "ĲĳĿŀŉſǄ-ǌǱ-ǳKÅﬀ-ﬆﬓ-ﬗיִ-ﭏﭐ-﷿ﹰ-ﻼ！-ￜ\U0001d400-\U0001d7ff"
-#: Cyrillic and Greek letters and the Latin ones they look like.
-LATIN_TWINS = dict(
-    zip(
-        "аеорсухіѕјԁһԛԝӏѵАВЕКМНОРСТУХІЅЈԌԚԜοανιυρκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ",
-        "aeopcyxisjdhqwlvABEKMHOPCTYXISJGQWoaviupkABEZHIKMNOPTYXcj",
-        strict=True,
-    )
-)
+#: Blocks of width, ligature and positional forms, of small and capital Roman numbers, and of mathematical letters.
+FORMS = "ĲĳĿŀŉſǄ-ǌǱ-ǳ\u212a\u212bⅠ-ⅿﬀ-ﬆﬓ-ﬗיִ-ﭏﭐ-﷿ﹰ-ﻼ！-ￜ\U0001d400-\U0001d7ff"
+#: Letters of other scripts and the Latin ones they look like.
+CYRILLIC = dict(zip("аеорсухіѕјԁһԛԝӏѵүАВЕКМНОРСТУХІЅЈԌԚԜӀҮ", "aeopcyxisjdhqwlvyABEKMHOPCTYXISJGQWIY", strict=True))
+GREEK = dict(zip("οανιυρκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "oaviupkcjABEZHIKMNOPTYXCJ", strict=True))
+ARMENIAN = dict(zip("օսհոյցզաՕՍԼՏ", "ouhnjgqwOULS", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃᎥ", "ABCDEGHJKLMPRSTVWYZi", strict=True))
+COPTIC = dict(zip("ⲟⲣⲥⲭⲕⲒⲎⲔⲘⲚⲞⲢⲤⲦⲬⲂⲨ", "opcxkIHKMNOPCTXBY", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+#: Latin letters that look like another Latin letter.
+LATIN_TWINS = {"ɡ": "g", "ɑ": "a"}
+#: The ranges of these scripts.
+SCRIPTS = (("cyrillic", "Ѐ-ԯ", CYRILLIC), ("greek", "Ͱ-Ͽἀ-῿", GREEK), ("armenian", "԰-֏", ARMENIAN), ("cherokee", "Ꭰ-᏿", CHEROKEE), ("coptic", "Ⲁ-⳿", COPTIC), ("lisu", "ꓐ-꓿", LISU))
 #: Arabic letters and digits that stand for Persian ones, and letters of other languages of that script.
 PERSIAN_TWINS = dict(zip("كيى٠١٢٣٤٥٦٧٨٩", "کیی۰۱۲۳۴۵۶۷۸۹", strict=True))
 HEH_TWINS = dict(zip("ہھە", "ههه", strict=True))
@@ -40,16 +44,22 @@ PERSIAN_WORDS = frozenset("در از که را با است این برای هر
 ARABIC_WORDS = frozenset("في من على أن هذا هذه ذلك كل لكل إذا كان حتى التي الذي إلى عن مع بعد قبل كيف حول بين نحو دليل فإن".split())
 
 _MARK = "̀-ͯٓ-ٕ"
-_SUSPECT = re.compile(f"[{IGNORABLE}{SPACES}{FORMS}{_MARK}Ͱ-ϿЀ-ԯ԰-֏Ꭰ-᏿ἀ-῿ΩKÅ{''.join(PERSIAN_TWINS)}{''.join(HEH_TWINS)}]|[0-9۰-۹]{ZWNJ}?[۰-۹0-9]|[A-Za-z][۰-۹]|[۰-۹][A-Za-z]|{ZWNJ}")
+_OTHER = "".join(r for _, r, _ in SCRIPTS)
+_SUSPECT = re.compile(f"[{IGNORABLE}{SPACES}{FORMS}{_MARK}{_OTHER}\u2126\u212a\u212b{''.join(LATIN_TWINS)}{''.join(PERSIAN_TWINS)}{''.join(HEH_TWINS)}]|[0-9۰-۹]{ZWNJ}?[۰-۹0-9]|[A-Za-z][۰-۹]|[۰-۹][A-Za-z]|{ZWNJ}")
 _HIDDEN = re.compile(f"[{IGNORABLE}{SPACES}]")
 _FORM = re.compile(f"[{FORMS}]")
 _ZWNJ = re.compile(f"(?<![ؠ-يٮ-ۓەۮۯۺ-ۿݐ-ݿﭐ-﷿ﹰ-ﻼ]){ZWNJ}|{ZWNJ}(?![ؠ-يٮ-ۓەۮۯۺ-ۿݐ-ݿﭐ-﷿ﹰ-ﻼ])")
 _WORD = re.compile(r"[^\W_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
-_TWIN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-᏿ἀ-῿]")
+_TWIN = re.compile(f"[{_OTHER}]")
+_LATIN_TWIN = re.compile(f"[{''.join(LATIN_TWINS)}]")
+_NAMED = [(name, re.compile(f"[{r}]")) for name, r, _ in SCRIPTS] + [("latin", _LATIN)]
+_TO_LATIN = {c: latin for _, _, table in SCRIPTS for c, latin in table.items()}
+_FROM_LATIN = {name: {latin: c for c, latin in table.items()} for name, _, table in SCRIPTS}
 _PERSIAN_TWIN = re.compile(f"[{''.join(PERSIAN_TWINS)}]")
 _HEH_TWIN = re.compile(f"[{''.join(HEH_TWINS)}]")
 _DIGITS = re.compile("[0-9٠-٩۰-۹]+")
+_EASTERN = re.compile("[٠-٩۰-۹]")
 _SEGMENT = re.compile("[^.!?؟؛\n]+")
 
 
@@ -73,24 +83,39 @@ def _mixed_digits(text: str) -> bool:
     return False
 
 
-def _foreign_letters(text: str) -> bool:
-    """Letters of Greek, Cyrillic and the like inside a word of another script."""
-    alone, whole = False, False
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if _TWIN.search(word):
-            if _LATIN.search(word) or re.search("[ؠ-ۿ]", word):
-                return True
-            kinds = {unicodedata.name(c, "?").split(" ", 1)[0] for c in word if c.isalpha()}
-            if len(kinds) > 1:
-                return True
-            if len(word) == 1 and "Ѐ" <= word <= "ԯ" and word in LATIN_TWINS:
-                alone = True
-            elif "Ѐ" <= word[0] <= "ԯ":
-                whole = True
-        elif re.search("[٠-٩۰-۹]", word) and _LATIN.search(word):
-            return True
-    return alone and not whole and bool(re.search("[A-Za-z]{2}", text))
+@lru_cache(1 << 12)
+def _script(char: str) -> str | None:
+    return next((name for name, letters in _NAMED if letters.match(char)), None)
+
+
+@lru_cache(1 << 16)
+def one_script(word: str) -> str:
+    """``word`` with its letters in one script, Latin if possible; as it is if some letter has no twin in any of its scripts.
+
+    Digits of the Arabic script beside Latin letters become plain ones.
+    """
+    scripts = [_script(c) for c in word]
+    if "latin" in scripts and _EASTERN.search(word):
+        word = _EASTERN.sub(lambda m: str(unicodedata.digit(m.group())), word)
+    present = sorted({x for x in scripts if x}, key=lambda x: (x != "latin", -scripts.count(x), x))
+    for base in present if len(present) > 1 else ():
+        back = _FROM_LATIN.get(base)
+        out = [c if x in (None, base) else _TO_LATIN.get(c) if base == "latin" else back.get(_TO_LATIN.get(c, c)) for c, x in zip(word, scripts, strict=True)]
+        if None not in out:
+            return "".join(out)
+    return word
+
+
+def _lone_letters(text: str) -> bool:
+    """Whether words of one Cyrillic letter stand for Latin ones: among Latin words, without a whole word of that script."""
+    words = _WORD.findall(text)
+    alone = any(len(w) == 1 and w in CYRILLIC for w in words)
+    return alone and bool(re.search("[A-Za-z]{2}", text)) and not any(len(w) > 1 and "Ѐ" <= w[0] <= "ԯ" and one_script(w) == w for w in words)
+
+
+def _of_one_script(text: str) -> str:
+    lone = _lone_letters(text)
+    return _WORD.sub(lambda m: CYRILLIC.get(m.group(), m.group()) if lone and len(m.group()) == 1 else one_script(m.group()), text)
 
 
 def is_variant(text: str | None, name: bool = False) -> bool:
@@ -103,7 +128,9 @@ def is_variant(text: str | None, name: bool = False) -> bool:
         return False
     if _HIDDEN.search(text) or _FORM.search(text) or _ZWNJ.search(text) or _HEH_TWIN.search(text):
         return True
-    if unicodedata.normalize("NFC", text) != text or _mixed_digits(text) or _foreign_letters(text):
+    if unicodedata.normalize("NFC", text) != text or _mixed_digits(text) or _LATIN_TWIN.search(text):
+        return True
+    if (_TWIN.search(text) or _EASTERN.search(text)) and _of_one_script(text) != text:
         return True
     if _PERSIAN_TWIN.search(text):
         for segment in _SEGMENT.findall(text):
@@ -134,8 +161,9 @@ def _one_pass(text: str, name: bool) -> str:
     out = _FORM.sub(lambda m: unicodedata.normalize("NFKC", m.group()), out)
     out = re.sub(f"[{SPACES}]", " ", re.sub(f"[{IGNORABLE}]", "", out))
     out = _ZWNJ.sub("", re.sub(f"{ZWNJ}+", ZWNJ, out))
-    if _TWIN.search(out):
-        out = _WORD.sub(lambda m: "".join(LATIN_TWINS.get(c, c) for c in m.group()) if _LATIN.search(m.group()) else m.group(), out)
+    out = _LATIN_TWIN.sub(lambda m: LATIN_TWINS[m.group()], out)
+    if _TWIN.search(out) or _EASTERN.search(out):
+        out = _of_one_script(out)
     out = _DIGITS.sub(_one_digits, out)
     out = _HEH_TWIN.sub(lambda m: HEH_TWINS[m.group()], out)
     if _PERSIAN_TWIN.search(out):
@@ -152,12 +180,22 @@ def comparison_key(text: str | None, name: bool = False) -> str | None:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", folded)).strip()
 
 
+#: Characters of values that are kept with their result from batch to batch, and how many of them.
+SHORT = (256, 1 << 16)
+
+
 def _per_distinct(batch: pa.RecordBatch, column: int):
     """(distinct values, index of each row's value) of one column."""
     coded = batch.column(column).dictionary_encode()
     return coded.dictionary.to_pylist(), coded.indices
 
 
+def _once(of: Callable) -> Callable:
+    """``of`` one value, computed once a task for values that are short, as titles and names are: they repeat across batches."""
+    kept = lru_cache(SHORT[1])(of)
+    return lambda v: kept(v) if v is None or len(v) <= SHORT[0] else of(v)
+
+
 def variants(df: DataFrame, key: str, column: str, field: str, name: bool = False, restorer=None) -> DataFrame:
     """(field, row_id) of the rows whose ``column`` is a variant.
 
@@ -169,9 +207,10 @@ def variants(df: DataFrame, key: str, column: str, field: str, name: bool = Fals
         from inkstream.llm.garbling import Restorer
 
         fixer = Restorer(restorer.value) if restorer is not None else None
+        test = _once(lambda v: is_variant(v, name))
         for batch in batches:
             values, index = _per_distinct(batch, 1)
-            hit = [is_variant(v, name) for v in values]
+            hit = [test(v) for v in values]
             if fixer:
                 hit = [h and not (fixer.suspects([v])[0] and fixer.restore(v)[0]) for h, v in zip(hit, values, strict=True)]
             mask = pa.array(hit, pa.bool_()).take(index).fill_null(False) if values else pa.array([False] * batch.num_rows)
@@ -185,10 +224,10 @@ def normalised(df: DataFrame, key: str, column: str, field: str, name: bool = Fa
     """(field, row_id, text, key): every row's value in one form and its comparison key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _once(lambda v: (one_form(v, name), comparison_key(v, name)))
         for batch in batches:
             values, index = _per_distinct(batch, 1)
-            forms = pa.array([one_form(v, name) for v in values], pa.string()).take(index)
-            keys = pa.array([comparison_key(v, name) for v in values], pa.string()).take(index)
+            forms, keys = (pa.array(c, pa.string()).take(index) for c in (zip(*map(both, values), strict=True) if values else ([], [])))
             yield pa.RecordBatch.from_arrays([batch.column(0), forms, keys], names=["row_id", "text", "key"])
 
     rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(column).cast("string").alias("__text"))

@@ -38,6 +38,27 @@ def test_lookalikes(text, name, expected):
     assert not lookalikes.is_variant(form, name) and lookalikes.one_form(form, name) == form
 
 
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [
+        ("Ꭺpple", "Apple"), ("Ꮪtop", "Stop"), ("սser", "user"), ("ɡood", "good"), ("ⅰv", "iv"), ("ⲟk", "ok"), ("ꓮll", "All"), ("слoво", "слово"), ("Ωmega", "Ωmega"), ("μm and αβ-test", "μm and αβ-test"),
+        ("ab۱2", "ab12"), ("а test", "a test"), ("а слово", "а слово"), ("πρoς", "προς"),
+    ],
+)
+def test_look_alike_letters(text, form):
+    assert lookalikes.one_form(text) == form and lookalikes.is_variant(text) is (text != form)
+
+
+LETTERS = "".join(c for _, _, t in lookalikes.SCRIPTS for c in t) + "лжΩδեᎣⲱ"
+
+
+@given(st.lists(st.text(alphabet=LETTERS, max_size=4) | st.text(alphabet="abcgoOIl ", max_size=4) | st.sampled_from(["ɡ", "ⅰ", "۱", "٢", "3", "می", "كتاب", "\u200c", "\u00ad", "\u0301", "ﬁ", "ｗ"]), max_size=8).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_one_form_is_no_variant(text):
+    form = lookalikes.one_form(text)
+    assert not lookalikes.is_variant(form) and lookalikes.one_form(form) == form
+
+
 @given(st.text(alphabet="abc éä\u0301\u00adآكي\u200cکگ١۲2\u0430ﬁ", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_one_form_is_a_fixed_point(text):
