@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.llm.staging import written
+
 FIELDS = ("title", "author", "year", "doi")
 
 
@@ -67,6 +69,6 @@ def later_copies(df: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> D
     with a third of all rows is never collected or sorted in one task; the
     join's hot tuple is split by the adaptive skew join.
     """
-    coded = encode(df, key, fields)
+    coded = written(encode(df, key, fields))  # the dictionaries are built once
     firsts = coded.groupBy("tuple").agg(F.min(key).alias(f"first_{key}"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     return coded.join(firsts, "tuple").where(F.col(f"first_{key}") != F.col(key)).select(f"first_{key}", key)
