@@ -26,6 +26,8 @@ UNSEEN = 0.01
 #: A mapping must lower the improbability of a segment by this much; by more if the segment has Arabic letters, of which some pairs are rare.
 LEAST_GAIN = 4.0
 LEAST_GAIN_ARABIC = 5.0
+#: A pair of this improbability makes a text worth a closer look.
+SUSPECT = 2.0
 #: Ranges of code points with a class each; the rest share classes by block.
 RANGES = ((0x0000, 0x0180), (0x0370, 0x0400), (0x0400, 0x0460), (0x0600, 0x0700), (0x2000, 0x2070))
 
@@ -222,10 +224,11 @@ class Restorer:
         """The best restoration of one window, or None.
 
         Every mapping is tried and the most probable result wins; this is
-        repeated for text that was garbled more than once.
+        repeated for text that was garbled more than once, as long as a mapping
+        makes it clearly more probable.
         """
         best = None
-        for _ in range(4):
+        while True:
             now = part if best is None else best
             tried = {utf8_read_as(now, c) for c in READ_UTF8_AS} | {bytes_read_as(now, *c) for c in READ_BYTES_AS}
             tried.discard(now)
@@ -255,13 +258,15 @@ class Restorer:
         return found or lost, restored
 
     def suspects(self, texts: list[str | None]) -> np.ndarray:
-        """Which texts have an improbable pair with a character outside ASCII."""
+        """Which texts have an improbable pair with a character outside ASCII, or a replacement or C1 control character."""
         lengths = np.array([len(t or "") + 1 for t in texts])
         joined = "\n".join(t or "" for t in texts) + "\n"
         if len(joined) < 2:
             return np.zeros(len(texts), bool)
-        c = class_table()[points(joined)].astype(np.int32)
-        hit = (self.model.cost[c[:-1] * CLASSES + c[1:]] > 2.0) & ((c[:-1] >= 128) | (c[1:] >= 128))
+        p = points(joined)
+        c = class_table()[p].astype(np.int32)
+        hit = (self.model.cost[c[:-1] * CLASSES + c[1:]] > SUSPECT) & ((c[:-1] >= 128) | (c[1:] >= 128))
+        hit |= (p[:-1] == 0xFFFD) | ((p[:-1] >= 0x80) & (p[:-1] < 0xA0))
         ends = np.cumsum(lengths)
         total = np.concatenate([[0], np.cumsum(hit)])
         return total[np.minimum(ends, len(hit))] > total[ends - lengths]

@@ -100,6 +100,20 @@ def test_garbling_partly_and_twice(model):
     assert r.restore("Die W�rter")[0] and not r.restore("Use α and Ω, m² or ½")[0]
 
 
+def test_garbling_of_the_tables(spark, sf_dir):
+    """Text nodes that are in order, read in a wrong encoding: nearly all are found, and most come back letter by letter."""
+    r = garbling.Restorer(queries._pair_model(spark, sf_dir))
+    nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("kind = 'text' and length(content) > 40")
+    texts = sorted({t for (t,) in nodes.select("content").collect() if any(c > "\x7f" for c in t) and not (r.suspects([t])[0] and r.restore(t)[0])})
+    assert len(texts) > 100
+    for codec in garbling.READ_UTF8_AS:
+        chars = garbling._codecs()[codec][1]
+        broken = ["".join(chars[b] for b in t.encode()) for t in texts]
+        results = [r.restore(t) if s else (False, t) for t, s in zip(broken, r.suspects(broken), strict=True)]
+        assert sum(f for f, _ in results) >= 0.97 * len(texts) and sum(t == new for t, (_, new) in zip(texts, results, strict=True)) >= 0.94 * len(texts)
+    assert r.suspects(["plain \ufffd text", "plain \x85 text", "plain text"]).tolist() == [True, True, False]
+
+
 def test_garbling_frame(spark, model):
     df = spark.createDataFrame([(1, "Les Ã©quations aprÃ¨s"), (1, "Les Ã©quations aprÃ¨s"), (2, None), (3, ""), (4, "plain " * 50_000)], "id bigint, original string")
     out = garbling.garbled(df, "id", "original", model).collect()
