@@ -2,6 +2,8 @@ import io
 import tarfile
 import zipfile
 
+import pytest
+
 from inkstream import engine
 from inkstream.operators import convert, corpus, html, latex
 from inkstream.plans import corpus as plans
@@ -21,16 +23,53 @@ def test_latex_never_fails():
     assert latex.to_mdx(None) is None
     assert latex.render(latex.parse("")) == ""
     assert latex.render(latex.parse(r"\end{x} \begin{y} $ \textbf{")) != ""
-    deep = r"\begin{center}" * 3000 + "x" + r"\end{center}" * 3000
+    deep = r"\begin{minipage}{1}" * 30_000 + "x" + r"\end{minipage}" * 30_000
     assert latex.render(latex.parse(deep)) == "x"
+    boxes = latex.render(latex.parse(r"\begin{center}" * 3000 + "x" + r"\end{center}" * 3000))
+    assert boxes.count("<div") == boxes.count("</div>") == 3000
+    assert "x" in latex.render(latex.parse(r"\textbf{" * 500 + "x" + "}" * 500))
 
 
 def test_latex_to_mdx():
     mdx = latex.to_mdx(r"\title{T}\begin{document}\section{S}\emph{e}\footnote{n}\begin{theorem}[N]b\end{theorem}\begin{minted}{py}x=1\end{minted}\begin{align}a&=b\end{align}\end{document}")
-    for part in ("title: T", "## S", "*e*", "[^1]: n", '<Theorem type="theorem" title="N">', "```py\nx=1\n```", "\\begin{aligned}"):
+    for part in ("title: T", "## S", "*e*", "[^1]: n", '<Theorem title="N">', "```py\nx=1\n```", "\\begin{aligned}"):
         assert part in mdx
 
 
+@pytest.mark.parametrize(
+    ("source", "mdx"),
+    [
+        (r"\begin{enumerate}\item one\item two\begin{itemize}\item x\item y\end{itemize}\item three\end{enumerate}", "1. one\n2. two\n  - x\n  - y\n3. three"),
+        (r"\textbf{a \emph{b}} \underline{c}", "**a *b*** <u>c</u>"), (r"\ref{eq:a_b} \eqref{eq:1}", '<CrossRef target="eq-a-b" /> <CrossRef target="eq-1" type="equation" />'), (r"\cite{a,b}", '<Citation keys="a,b" />'),
+        (r"\begin{figure}\centering\includegraphics[width=0.5\textwidth]{a.png}\caption{C \emph{x}}\label{fig:a_b}\end{figure}", '<Figure src="a.png" caption="C *x*" id="fig-a-b" />'),
+        (r"\begin{wrapfigure}{l}{0.4\textwidth}\includegraphics{a}\end{wrapfigure}", '<Figure float="left" width="40%" src="a" />'),
+        (r"\begin{figure}\includegraphics{a}\includegraphics{b}\caption{c}\end{figure}", '<FigureGrid caption="c">\n<Image src="a" />\n<Image src="b" />\n</FigureGrid>'),
+        (r"\begin{table}\caption{T}\begin{tabular}{|l|c|r|}\hline a & b & c \\ \hline 1 & \textbf{2} & 3 \\[1ex]\end{tabular}\end{table}", "**T**\n\n| a | b | c |\n| --- | :---: | ---: |\n| 1 | **2** | 3 |"),
+        (r"\begin{tabular}{ll}\multicolumn{2}{c}{H}\\a & b\end{tabular}", '<table dir="rtl">\n  <thead>\n    <tr>\n      <th colspan="2">H</th>\n    </tr>\n  </thead>\n  <tbody>\n    <tr>\n      <td>a</td>\n      <td>b</td>\n    </tr>\n  </tbody>\n</table>'),
+        (r"\begin{tcolorbox}[title={Hi},colback=red]b\end{tcolorbox}", '<Admonition type="warning" title="Hi">\n\nb\n\n</Admonition>'), (r"\begin{abstract}a\end{abstract}", '<Admonition type="abstract" title="چکیده">\n\na\n\n</Admonition>'),
+        (r"\begin{theorem}[N]\label{thm:x}b\end{theorem}", '<Theorem id="thm-x" title="N">\n\nb\n\n</Theorem>'), ("\\begin{quote}a\nb\\end{quote}", "> a\n> b"), (r"\begin{align}a&=b\end{align}", "$$\n\\begin{aligned}\na&=b\n\\end{aligned}\n$$"),
+        (r"\begin{tikzpicture}\draw;\end{tikzpicture}", "<TikZDiagram>\n\\draw;\n</TikZDiagram>"), (r"\input{no}x", r"\input{no}x"), (r"\textcolor{red}{t}\footnote{\emph{n}}", '<span style={{color: "red"}}>t</span>[^1]\n\n[^1]: *n*'),
+    ],
+)
+def test_latex_rules(source, mdx):
+    assert latex.render(latex.parse(source)) == mdx
+
+
+def test_macros():
+    text = r"\newcommand{\R}{\mathbb{R}}\newcommand{\p}[2][x]{(#1,#2)}\def\q{\R\R}\DeclareMathOperator{\rk}{rank}$\R^n$ \p{a} \p[b]{c} \q{} \rk A \begin{verbatim}\R\end{verbatim}\Rest"
+    without, macros = latex.take_macros(text)
+    assert set(macros) == {"R", "p", "q", "rk"}
+    assert latex.expand(without, macros) == r"$\mathbb{R}^n$ (x,a) (b,c) \mathbb{R}\mathbb{R} \operatorname{rank} A \begin{verbatim}\R\end{verbatim}\Rest"
+    assert len(latex.expand(r"\a", {"a": (0, None, r"\a\a")})) < 10 * latex.EXPANSIONS
+    assert latex.preamble(r"\documentclass[a]{book}\usepackage{x, y}\newtheorem{satz}{Satz}\title{A \emph{B}}") == latex.Preamble("book", ["x", "y"], {}, {"satz": "Theorem"}, r"A \emph{B}")
+    assert latex.to_mdx(r"\title{A: \emph{B}~c}\author{X \and Y}\begin{document}\newcommand{\z}{zz}\z.\end{document}") == "---\ntitle: 'A: B c'\nauthor: X Y\n---\n\nzz.\n"
+
+
+@pytest.mark.parametrize(("value", "scalar"), [("a b", "a b"), ("a: b", "'a: b'"), ("it's #1", "'it''s #1'"), ("yes", "'yes'"), ("12", "'12'"), ("", "''"), ("-x", "-x"), ("سلام", "سلام")])
+def test_yaml_scalar(value, scalar):
+    assert latex.yaml_scalar(value) == scalar
+
+
 def test_html_to_mdx():
     mdx = html.to_mdx("<html lang=fa><title>T</title><h2>H</h2><ul><li>a<li>b</ul><table><tr><th>x<td>y<tr><td>1<td>2</table><p>q <b>w</b> <a href=u>v</a><script>no</script>")
     for part in ("title: T", "lang: fa", "## H", "- a\n- b", "| x | y |", "| 1 | 2 |", "**w**", "[v](u)"):
