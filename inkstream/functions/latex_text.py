@@ -84,12 +84,6 @@ def style_object(css: Column) -> Column:
     return F.concat(F.lit("{{"), F.array_join(F.transform(parts, one), ", "), F.lit("}}"))
 
 
-def metadata_slug(text: Column, most: int = 60) -> Column:
-    """slug cut at a hyphen; document if nothing is left."""
-    whole = slugs.persian_slug(text, F.lit("document"), 10_000)
-    return rx.let(whole, lambda s: F.when(F.length(s) <= most, s).otherwise(F.regexp_replace(F.substring(s, 1, most), "-[^-]*$", "")))
-
-
 def saved(before: Column, after: Column) -> Column:
     """percentage that is saved; 0 if there was nothing."""
     return F.when(before > 0, F.round((before - after) * 100 / F.when(before > 0, before), 1)).otherwise(0.0)

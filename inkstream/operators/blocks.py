@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions import rx
+from inkstream.functions import rx, slugs
 
 #: Patterns of blocks. Group 1 and 2 are what the block's row holds.
 ENVIRONMENT = r"(?s)\\begin\{(equation|align|gather|multline|eqnarray)\*?\}(.*?)\\end\{(?:equation|align|gather|multline|eqnarray)\*?\}"
@@ -50,6 +50,11 @@ SECTION = r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^}
 #: Kind of callout by its word, and component by environment.
 CALLOUT_KINDS = {"NOTE": "note", "TIP": "tip", "INFO": "info", "WARNING": "warning", "DANGER": "danger", "CAUTION": "caution", "IMPORTANT": "important", "EXAMPLE": "example", "ABSTRACT": "info", "TODO": "tip", "BUG": "danger", "QUOTE": "note"}
 COMPONENTS = {"theorem": "Theorem", "lemma": "Theorem", "corollary": "Theorem", "proposition": "Theorem", "definition": "Definition", "example": "Example", "proof": "Proof", "remark": "Admonition", "note": "Admonition", "warningbox": "Admonition", "notebox": "Admonition", "caution": "Admonition", "important": "Admonition"}
+#: Other names of programming languages.
+LANGUAGE_ALIASES = {
+    "py": "python", "python3": "python", "js": "javascript", "ts": "typescript", "rb": "ruby", "sh": "bash", "shell": "bash", "zsh": "bash", "yml": "yaml", "tex": "latex", "md": "markdown", "cs": "csharp",
+    "c++": "cpp", "c#": "csharp", "f#": "fsharp", "htm": "html", "objective-c": "objc",
+}
 #: Signs of programming languages, the first that occurs counts.
 LANGUAGES = {
     "python": r"def |import |from |class |if __name__", "javascript": r"function |const |let |var |=>|require\(", "typescript": r"interface |type |: string|: number", "html": r"<html|<div|<span|<!DOCTYPE",
@@ -71,6 +76,16 @@ def single(df: DataFrame, key: str, text: str, pattern: str, name: str) -> DataF
     return out.select(key, F.col("pos").cast("bigint").alias("pos"), name)
 
 
+def many(df: DataFrame, key: str, text: str, patterns: dict[str, str], first: str = "a", second: str = "b") -> DataFrame:
+    """(key, source, pos, first, second): groups 1 and 2 of every match of every pattern, in one pass over the texts."""
+
+    def found(source: str, pattern: str) -> Column:
+        pairs = F.arrays_zip(rx.every(F.col(text), pattern, 1).alias("x"), rx.every(F.col(text), pattern, 2).alias("y"))
+        return F.transform(pairs, lambda p, i: F.struct(F.lit(source).alias("source"), i.cast("bigint").alias("pos"), p["x"].alias(first), p["y"].alias(second)))
+
+    return df.select(key, F.inline(F.concat(*(F.coalesce(found(s, p), F.array().cast(f"array<struct<source:string,pos:bigint,`{first}`:string,`{second}`:string>>")) for s, p in patterns.items()))))
+
+
 def kinds_of(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """(key, kind, n): number of matches of each pattern, where there are any."""
     counts = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(rx.count(F.col(text), p), F.lit(0).cast("bigint")).alias("n")) for k, p in patterns.items()))
@@ -82,23 +97,41 @@ def trimmed(c: Column) -> Column:
 
 
 def code_language(declared: Column, content: Column) -> Column:
-    """the declared language, or the first one whose signs occur."""
+    """the declared language by its usual name, or the first one whose signs occur."""
     guess = None
     for name, signs in LANGUAGES.items():
         guess = F.when(content.rlike(signs), name) if guess is None else guess.when(content.rlike(signs), name)
-    return F.coalesce(F.nullif(F.lower(F.trim(declared)), F.lit("")), guess, F.lit("text"))
+    aliases = F.create_map(*(F.lit(x) for kv in LANGUAGE_ALIASES.items() for x in kv))
+    named = F.nullif(F.lower(F.trim(declared)), F.lit(""))
+    return F.coalesce(F.element_at(aliases, named), named, guess, F.lit("text"))
+
+
+#: Where code stands.
+CODE = {"fence": FENCE, "lstlisting": LISTING, "minted": MINTED, "verbatim": VERBATIM, "html": PRE}
 
 
 def code_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, source, pos, language, n_lines, content) of fences, listings, minted, verbatim and HTML code."""
-    out = None
-    for source, pattern in (("fence", FENCE), ("lstlisting", LISTING), ("minted", MINTED), ("verbatim", VERBATIM), ("html", PRE)):
-        part = blocks(df, key, text, pattern, "option", "content")
-        declared = F.regexp_extract("option", r"language[ ]*=[ ]*\{?([^,}\]]+)\}?", 1) if source == "lstlisting" else F.lit("") if source == "verbatim" else F.col("option")
-        body = trimmed(F.col("content"))
-        part = part.select(key, F.lit(source).alias("source"), "pos", code_language(F.coalesce(declared, F.lit("")), body).alias("language"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"), body.alias("content"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    part = many(df, key, text, CODE, "option", "content")
+    listing = F.regexp_extract("option", r"language[ ]*=[ ]*\{?([^,}\]]+)\}?", 1)
+    declared = F.when(F.col("source") == "lstlisting", listing).when(F.col("source") == "verbatim", "").otherwise(F.col("option"))
+    part = part.select(key, "source", "pos", F.coalesce(declared, F.lit("")).alias("declared"), trimmed(F.col("content")).alias("content"))
+    lines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))) + 1
+    return part.select(key, "source", "pos", code_language(F.col("declared"), F.col("content")).alias("language"), lines.cast("bigint").alias("n_lines"), "content")
+
+
+def listing_options(option: Column) -> Column:
+    """language, caption, label and numbers of a listing's options."""
+    one = lambda name: F.nullif(F.trim(F.regexp_extract(option, rf"\b{name}[ ]*=[ ]*(?:\{{([^}}]*)\}}|([^,\]]*))", 1)), F.lit(""))
+    bare = lambda name: F.nullif(F.trim(F.regexp_extract(option, rf"\b{name}[ ]*=[ ]*(?:\{{([^}}]*)\}}|([^,\]]*))", 2)), F.lit(""))
+    return F.struct(*(F.coalesce(one(n), bare(n)).alias(n) for n in ("language", "caption", "label", "numbers")))
+
+
+def fence(code: Column, language: Column, title: Column, numbered: Column, label: Column) -> Column:
+    """a fenced block with its title, line numbers and label."""
+    head = F.concat(F.lit("```"), language, F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(' title="'), title, F.lit('"'))).otherwise(F.lit("")), F.when(numbered, " showLineNumbers").otherwise(""))
+    mark = F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("{/* label: "), label, F.lit(" */}\n"))).otherwise(F.lit(""))
+    return F.concat(mark, head, F.lit("\n"), trimmed(code), F.lit("\n```"))
 
 
 def link_kind(target: Column) -> Column:
@@ -108,10 +141,9 @@ def link_kind(target: Column) -> Column:
 
 def links(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, source, pos, label, target, kind)."""
-    md = blocks(df, key, text, MARKDOWN_LINK, "label", "target").withColumn("source", F.lit("markdown"))
-    tex = blocks(df, key, text, HREF, "target", "label").withColumn("source", F.lit("latex"))
-    html = blocks(df, key, text, HTML_LINK, "target", "label").withColumn("source", F.lit("html"))
-    out = md.unionByName(tex).unionByName(html)
+    out = many(df, key, text, {"markdown": MARKDOWN_LINK, "latex": HREF, "html": HTML_LINK})
+    first = F.col("source") == "markdown"
+    out = out.select(key, "source", "pos", F.when(first, F.col("a")).otherwise(F.col("b")).alias("label"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("target"))
     return out.select(key, "source", "pos", F.regexp_replace("label", "<[^>]*>", "").alias("label"), "target", link_kind(F.col("target")).alias("kind"))
 
 
@@ -165,14 +197,26 @@ def to_mdx_math(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}", r"\$\$$1\$\$")
     for env, to in (("align", "aligned"), ("eqnarray", "aligned"), ("gather", "gathered"), ("multline", "gathered")):
         text = F.regexp_replace(text, rf"(?s)\\begin\{{{env}\*?\}}(.*?)\\end\{{{env}\*?\}}", rf"\$\$\\begin{{{to}}}$1\\end{{{to}}}\$\$")
-    return F.regexp_replace(text, r"\\eqref\{([^}]+)\}", "([$1](#$1))")
+    return rx.splice(text, r"\\eqref\{[^}]+\}", fix_match=_reference)
+
+
+def _reference(command: Column) -> Column:
+    """A link to the id of the label in a referring command; cref names the kind of what it refers to."""
+    label = F.regexp_extract(command, r"\{([^}]+)\}", 1)
+
+    def link(i: Column) -> Column:
+        kind = F.when(command.startswith("\\cref"), slugs.label_kind(label)).otherwise("")
+        shown = F.when(command.startswith("\\eqref"), F.concat(F.lit("("), i, F.lit(")"))).when(kind != "", F.concat(kind, F.lit(" "), i)).otherwise(i)
+        return F.concat(F.lit("["), shown, F.lit("](#"), i, F.lit(")"))
+
+    return rx.let(F.trim(slugs.label_id(label)), link)
 
 
 def to_mdx_links(text: Column) -> Column:
     """Links and references in the notation of the target."""
     text = F.regexp_replace(text, HREF, "[$2]($1)")
     text = F.regexp_replace(text, URL, "[$1]($1)")
-    text = F.regexp_replace(text, r"\\(?:ref|cref|autoref)\{([^}]+)\}", "[$1](#$1)")
+    text = rx.splice(text, r"\\(?:ref|cref|autoref)\{[^}]+\}", fix_match=_reference)
     return F.regexp_replace(text, r"(?s)<a[ \t\n]+[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>", "[$2]($1)")
 
 

@@ -460,6 +460,21 @@ def preamble(text: str) -> Preamble:
     return Preamble(kind.group(1) if kind else "", packages, macros, boxes, *(_balanced(text, c) for c in ("title", "author", "date")))
 
 
+def preambles(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, document_class, packages, title, author, n_macros) of every document."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [preamble(t.as_py() or "") for t in batch.column(1)]
+            columns = [[p.document_class for p in found], [p.packages for p in found], [plain(p.title) for p in found], [plain(p.author) for p in found], [len(p.macros) for p in found]]
+            types = (pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["__key", "document_class", "packages", "title", "author", "n_macros"])
+
+    rows = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"__key {key_type}, document_class string, packages array<string>, title string, author string, n_macros int").withColumnRenamed("__key", key)
+
+
 #: Words in the name or heading of a box that tell its component, in this order.
 BOX_WORDS = (("Definition", "defin|تعریف"), ("Example", "exampl|مثال|remark|نکته"), ("Proof", "proof|برهان|اثبات"), ("Admonition", "note|warn|box|هشدار|توجه"), ("Theorem", ""))
 

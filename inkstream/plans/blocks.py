@@ -117,14 +117,6 @@ def bibliography_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("entry_type", lang.alias("title_lang")).agg(F.count("*").alias("n_entries"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def references_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entry as a reference."""
-    e = table(spark, sf_dir, "bib_entries")
-    field = lambda c: F.nullif(F.trim(c), F.lit(""))
-    parts = [field("author"), F.concat(F.lit("("), field("year"), F.lit(").")), F.concat(field("title"), F.lit(".")), F.concat(F.lit("*"), field("journal"), F.lit("*")), F.concat(F.lit("vol. "), field("volume")), F.concat(F.lit("pp. "), field("pages")), F.concat(F.lit("https://doi.org/"), field("doi"))]
-    return e.select("bib_id", F.concat_ws(" ", *parts).alias("reference"))
-
-
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields read back from the JSON of each entry."""
     e = table(spark, sf_dir, "bib_entries").select("bib_id", "raw_fields")
@@ -150,13 +142,9 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of chapters and text nodes by source."""
-    out = None
     n = table(spark, sf_dir, "nodes").where("kind in ('text', 'environment')").select(F.col("node_uid").alias("row_id"), F.coalesce("content", "body").alias("text")).distinct()
     c = _chapters(spark, sf_dir).select((-F.col("chapter_id")).alias("row_id"), "text")
-    for source, pattern in _IMAGES.items():
-        part = B.blocks(n.unionByName(c), "row_id", "text", pattern, "note", "src").select("row_id", F.lit(source).alias("source"), "pos", F.coalesce("note", F.lit("")).alias("note"), "src")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return B.many(n.unionByName(c), "row_id", "text", _IMAGES, "note", "src").withColumn("note", F.coalesce("note", F.lit("")))
 
 
 def callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +183,7 @@ def jsx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node_uid", B.html_to_jsx(F.col("content")).alias("jsx"))
 
 
-_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, references_apa, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, components_used, headings_outline, latex_sections, jsx_conversion)
+_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, components_used, headings_outline, latex_sections, jsx_conversion)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 
@@ -232,12 +220,16 @@ SELECT {key}, 'markdown' AS source, pos, a AS label, b AS target FROM {_pairs(ke
 SELECT {key}, 'latex', pos, b, a FROM {_pairs(key, text, source, B.HREF)} UNION ALL SELECT {key}, 'html', pos, b, a FROM {_pairs(key, text, source, B.HTML_LINK)}))"""
 
 
+#: Other names of languages, written out.
+_ALIAS = "CASE {c} WHEN 'py' THEN 'python' WHEN 'python3' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'rb' THEN 'ruby' WHEN 'sh' THEN 'bash' WHEN 'shell' THEN 'bash' WHEN 'zsh' THEN 'bash' WHEN 'yml' THEN 'yaml' WHEN 'tex' THEN 'latex' WHEN 'md' THEN 'markdown' WHEN 'cs' THEN 'csharp' WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'f#' THEN 'fsharp' WHEN 'htm' THEN 'html' WHEN 'objective-c' THEN 'objc' ELSE {c} END"
+
+
 def _code(key: str, text: str, source: str) -> str:
     parts = []
     for name, pattern in (("fence", B.FENCE), ("lstlisting", B.LISTING), ("minted", B.MINTED), ("verbatim", B.VERBATIM), ("html", B.PRE)):
         declared = "regexp_extract(a, 'language[ ]*=[ ]*\\{?([^,}\\]]+)\\}?', 1)" if name == "lstlisting" else "''" if name == "verbatim" else "a"
         parts.append(f"SELECT {key}, '{name}' AS source, pos, coalesce({declared}, '') AS d, {_TRIM.format(c='b')} AS t FROM {_pairs(key, text, source, pattern)}")
-    return f"(SELECT {key}, source, pos, coalesce(nullif(lower(trim(d)), ''), {_guess('t')}) AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM ({' UNION ALL '.join(parts)}))"
+    return f"(SELECT {key}, source, pos, coalesce({_ALIAS.format(c="nullif(lower(trim(d)), '')")}, {_guess('t')}) AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM ({' UNION ALL '.join(parts)}))"
 
 
 SQL = {
@@ -261,7 +253,6 @@ SELECT r.chapter_id, pos + 1 AS number, r.a AS mark, coalesce(note, '') AS note,
     "latex_footnotes": f"SELECT a AS kind, count(*) AS n, CAST(sum(length(b)) AS BIGINT) AS n_chars, count(DISTINCT node_uid) AS n_nodes FROM {_pairs('node_uid', 'content', _NODES, B.FOOTNOTE)} GROUP BY 1",
     "bibliography_stats": """WITH e AS (SELECT entry_type, doc_id, len(regexp_extract_all(coalesce(title, ''), '[؀-ۿ]')) AS fa, len(regexp_extract_all(coalesce(title, ''), '[A-Za-zÀ-ɏ؀-ۿ]')) AS al FROM bib_entries)
 SELECT entry_type, CASE WHEN al > 0 AND fa / al > 0.3 THEN 'fa' ELSE 'en' END AS title_lang, count(*) AS n_entries, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY 1, 2""",
-    "references_apa": """SELECT bib_id, concat_ws(' ', nullif(trim(author), ''), '(' || nullif(trim(year), '') || ').', nullif(trim(title), '') || '.', '*' || nullif(trim(journal), '') || '*', 'vol. ' || nullif(trim(volume), ''), 'pp. ' || nullif(trim(pages), ''), 'https://doi.org/' || nullif(trim(doi), '')) AS reference FROM bib_entries""",
     "raw_fields": "SELECT bib_id, " + ", ".join(f"json_extract_string(raw_fields, '$.{c}') AS raw_{c}" for c in ("title", "author", "year", "doi")) + " FROM bib_entries",
     "pipe_cells": f"""WITH r AS (SELECT chapter_id, pos, string_split(regexp_replace(a, '^\\||\\|$', '', 'g'), '|') AS c FROM {_one('chapter_id', 'mdx_content', 'chapters', B.PIPE_ROW)} WHERE NOT regexp_matches(a, '^\\|[ :|-]+\\|$'))
 SELECT chapter_id, pos AS r, i - 1 AS c, trim(r.c[i]) AS content FROM r, unnest(range(1, len(r.c) + 1)) AS u(i)""",

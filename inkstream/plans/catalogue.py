@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.plans import blocks, convert, corpus, detection, problems, quality, relational, rules, typography
+from inkstream.plans import bibliography, blocks, convert, corpus, detection, problems, quality, relational, rules, typography
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (problems, detection, typography, blocks, quality, corpus, relational, convert, rules)
+_MODULES = (problems, detection, typography, blocks, bibliography, quality, corpus, relational, convert, rules)
 
 
 def queries() -> dict[str, Query]:

@@ -156,7 +156,7 @@ _STEM = "regexp_extract({c}, '([^/]+?)(?:\\.[A-Za-z]+)?$', 1)"
 SQL = {
     "dependency_edges": f"SELECT kind, target, count(*) AS n_edges, count(DISTINCT doc_id) AS n_docs FROM ({_EDGES}) GROUP BY 1, 2",
     "include_closure": """WITH RECURSIVE e AS (SELECT DISTINCT doc_id || ':' || parent_id AS src, doc_id || ':' || node_id AS dst FROM nodes WHERE parent_id IS NOT NULL),
-r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 4)
+r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src)
 SELECT CAST(depth AS INT) AS depth, count(*) AS n_pairs FROM (SELECT src, dst, min(depth) AS depth FROM r GROUP BY 1, 2) GROUP BY 1""",
     "project_structure": f"""WITH f AS (SELECT project_id, doc_id, path, coalesce(source_format, '') AS source_format, {_BOOK} AS is_book FROM documents WHERE project_id IS NOT NULL),
 b AS (SELECT project_id, source_format, count(*) AS n, min(doc_id) AS first FROM f GROUP BY 1, 2),

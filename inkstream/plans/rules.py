@@ -33,7 +33,7 @@ def cleaned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """titles of LaTeX documents as plain text and as slugs."""
     d = spread(table(spark, sf_dir, "documents")).where("source_format = 'latex'").select("doc_id", F.regexp_extract("text", r"\\title\{((?:[^{}]|\{[^{}]*\})*)\}", 1).alias("t")).where("t <> ''")
-    return d.select("doc_id", L.title(F.col("t")).alias("title"), L.metadata_slug(F.col("t")).alias("slug"))
+    return d.select("doc_id", L.title(F.col("t")).alias("title"), slugs.metadata_slug(F.col("t")).alias("slug"))
 
 
 def macros(spark: SparkSession, sf_dir: str) -> DataFrame:

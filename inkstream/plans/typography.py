@@ -101,11 +101,12 @@ def _translate(t: str, pair: tuple[str, str]) -> str:
     return f"translate({t}, '{pair[0]}', '{pair[1]}')"
 
 
-_TR = f"translate(translate(lower(coalesce(title, '')), 'يك', 'یک'), '{''.join(slugs._SINGLE)}', '{''.join(slugs._SINGLE.values())}')"
-for _k, _v in slugs._DOUBLE.items():
+#: The rules of slugs written out in SQL, letter by letter, independent of the library's tables.
+_TR = "translate(translate(translate(lower(trim(coalesce(title, ''))), 'يك', 'یک'), 'اآبپتثجحدذرزسصضطظعفکگلمنوهی', 'aabptsjhdzrzssztzafkglmnvhy'), '۰۱۲۳۴۵۶۷۸۹', '0123456789')"
+for _k, _v in (("چ", "ch"), ("خ", "kh"), ("ژ", "zh"), ("ش", "sh"), ("غ", "gh"), ("ق", "gh")):
     _TR = f"replace({_TR}, '{_k}', '{_v}')"
-_SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
-_PSLUG = _SLUG.format(t=f"replace({_TR}, chr(8204), '-')")
+_PSLUG = "regexp_replace(substr(regexp_replace(regexp_replace(" + _TR + ", '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
+_SLUG = "substr(regexp_replace(regexp_replace(regexp_replace(lower({t}), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60)"
 _SUM = "coalesce(list_sum(list_transform({c}, lambda x: coalesce(" + _ZC.format(t="x") + ", 0))), 0)"
 SQL = {
     "zwnj_counts": f"""SELECT meta_id, coalesce({_ZC.format(t="title")}, 0) AS in_title, coalesce({_ZC.format(t="description")}, 0) AS in_description,
@@ -131,6 +132,6 @@ SELECT meta_id, CASE WHEN length(description) <= 40 THEN description WHEN last >
  WHEN regexp_matches(coalesce(doc_date, ''), '^[ \t\n\r\f]*[0-9]{4}[ \t\n\r\f]*$') THEN trim(doc_date) || '-01-01' ELSE '1970-01-01' END AS iso_date,
  substr(md5(coalesce(source_file, '')), 1, 8) AS hash8, CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 75 THEN 'good' WHEN quality_score >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM l""",
     "label_kinds": f"""WITH l AS (SELECT chapter_id, unnest(map_entries(labels)) AS e FROM chapters)
-SELECT chapter_id, e.key AS label, translate(e.key, ':_', '--') AS label_id, CASE split_part(e.key, ':', 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in slugs.LABEL_KINDS.items())} ELSE '' END AS label_kind FROM l""",
+SELECT chapter_id, e.key AS label, translate(e.key, ':_', '--') AS label_id, CASE split_part(e.key, ':', 1) WHEN 'eq' THEN 'معادله' WHEN 'fig' THEN 'شکل' WHEN 'tab' THEN 'جدول' WHEN 'sec' THEN 'بخش' WHEN 'ch' THEN 'فصل' WHEN 'thm' THEN 'قضیه' WHEN 'def' THEN 'تعریف' WHEN 'lem' THEN 'لم' WHEN 'alg' THEN 'الگوریتم' WHEN 'lst' THEN 'برنامه' ELSE '' END AS label_kind FROM l""",
     "protected_spans": f"SELECT doc_id, len(regexp_extract_all(text, '{persian.PROTECTED}')) AS n_spans, CAST(length(array_to_string(regexp_extract_all(text, '{persian.PROTECTED}'), '')) AS BIGINT) AS n_chars FROM documents",
 }

@@ -34,7 +34,11 @@ Z = "‌"
         (persian.converter_language, "abc", "en"),
         (persian.normalise, '`"1"` "2"', '`"1"` «۲»'),
         (lambda c: slugs.persian_slug(c, F.lit("x")), "سلام دنیا", "slam-dnya"),
+        (lambda c: slugs.persian_slug(c, F.lit("x")), "فصل ۲", "fsl-2"),
+        (lambda c: slugs.persian_slug(c, F.lit("x")), "De Morgan's ﬁne Ｌａｗｓ", "de-morgan-s-fine-laws"),
+        (lambda c: slugs.persian_slug(c, F.lit("x")), "منطق گزاره\u200cای", "mntgh-gzarh-ay"),
         (lambda c: slugs.ascii_slug(c, F.lit("x")), "A  b!", "a-b"),
+        (lambda c: slugs.ascii_slug(c, F.lit("x")), "Größe Caféx résumé", "gre-cafx-rsum"),
         (lambda c: slugs.ascii_slug(c, F.lit("x")), "سلام", "x"),
         (lambda c: slugs.truncate(c, 10), "one two three", "one two..."),
         (lambda c: slugs.iso_date(c, "1970-01-01"), "in 2020-02-03", "2020-02-03"),

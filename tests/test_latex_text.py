@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from test_functions import value
 
 from inkstream.functions import latex_text as L
-from inkstream.functions import rx
+from inkstream.functions import rx, slugs
 from inkstream.operators import convert
 
 
@@ -20,8 +20,8 @@ from inkstream.operators import convert
         (L.with_direction, "---\ntitle: t\ndir: ltr\n---\nx", "---\ndir: rtl\nlang: fa\ntitle: t\n---\nx"),
         (L.wrap_blocks, "a $$x$$", 'a <div dir="ltr">\n\n$$x$$\n\n</div>'),
         (L.style_object, "font-size: 1px; color:red;", "{{fontSize: '1px', color: 'red'}}"),
-        (L.metadata_slug, "a" * 50 + " " + "b" * 50, "a" * 50),
-        (L.metadata_slug, "", "document"),
+        (slugs.metadata_slug, "a" * 50 + " " + "b" * 50, "a" * 50),
+        (slugs.metadata_slug, "", "document"), (slugs.metadata_slug, "قضیه فصل ۲", "ghaziyah-fasl-2"), (slugs.metadata_slug, "قلم_A. ß", "qlam-a-ß"), (slugs.metadata_slug, "هم\u200cارز", "ham-arz"),
         (lambda c: rx.every(c, L.DIRECTIVE, 1), ".. note:: x\n\n.. tip:: y", ["note", "tip"]),
         (lambda c: rx.every(c, L.TCOLORBOX, 1), r"\begin{tcolorbox}[title=T]b\end{tcolorbox}", ["title=T"]),
         (lambda c: rx.every(c, L.MACRO, 1), r"\newcommand{\ab}[2]{x {y}}\renewcommand{\cd}{z}", ["ab", "cd"]),
