@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions import detect, persian, slugs
-from inkstream.operators import convert, quality
+from inkstream.operators import convert, corpus, quality
 from inkstream.sources import files
 
 
@@ -20,11 +20,9 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def run(spark: SparkSession, path: str, framework: str = "next") -> DataFrame:
     """(path, target, mdx, status, readiness, score) of every document below ``path``; failures are rows."""
-    from inkstream.operators.corpus import deploy_path
-
-    docs = scan(spark, path)
-    mdx = convert.to_mdx(docs, "path", "text", "format")
-    docs = docs.select("path", "format", "text").join(mdx.drop("format", "n_chars"), "path")
+    docs = corpus.inlined(scan(spark, path), "path", "text", F.col("format") == "latex")
+    # texts travel with their MDX: every file is read and decoded once, and nothing is joined
+    docs = convert.to_mdx(docs, "path", "text", "format", keep=("text",))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[A-Za-z0-9]+$", "")
     score = quality.content_score(quality.counters(F.col("text")), quality.counters(F.col("mdx")))
-    return docs.select("path", deploy_path(framework, slugs.persian_slug(stem, F.lit("document"))).alias("target"), "mdx", "status", quality.readiness(quality.issues(F.col("text"), F.col("format"))).alias("readiness"), F.round(score, 2).alias("score"))
+    return docs.select("path", corpus.deploy_path(framework, slugs.persian_slug(stem, F.lit("document"))).alias("target"), "mdx", "status", quality.readiness(quality.issues(F.col("text"), F.col("format"))).alias("readiness"), F.round(score, 2).alias("score"))

@@ -60,14 +60,14 @@ def frontmatter(text: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, value))
 
 
-def to_mdx(df: DataFrame, key: str, text: str, fmt: str) -> DataFrame:
-    """(key, format, mdx, n_chars, status): every document converted by its format.
+def to_mdx(df: DataFrame, key: str, text: str, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, format, mdx, n_chars, status, *keep): every document converted by its format.
 
     LaTeX and HTML need a reader and go through one Arrow pass; the other
     formats are column expressions. A document that can't be converted keeps
-    its text and has the status failed; null texts are empty.
+    its text and has the status failed; null texts are empty. Columns in
+    ``keep`` travel along, so nothing has to be joined to the result.
     """
-    key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from inkstream.operators import html, latex
@@ -75,7 +75,7 @@ def to_mdx(df: DataFrame, key: str, text: str, fmt: str) -> DataFrame:
         readers = {"latex": latex.to_mdx, "html": html.to_mdx}
         for batch in batches:
             out, status = [], []
-            for value, kind in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for value, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 value = value.as_py() or ""
                 try:
                     out.append(readers[kind](value))
@@ -83,14 +83,16 @@ def to_mdx(df: DataFrame, key: str, text: str, fmt: str) -> DataFrame:
                 except Exception:  # an error is a row
                     out.append(value)
                     status.append("failed")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string()), pa.array(status, pa.string())], names=["__key", "format", "mdx", "status"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string()), pa.array(status, pa.string())], names=[*batch.schema.names[1:], "mdx", "status"])
 
-    rows = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.coalesce(F.col(fmt), F.lit("plain")).alias("format"))
-    schema = f"__key {key_type}, format string, mdx string, status string"
+    kept = [F.col(c).alias(f"__keep_{c}") for c in keep]
+    rows = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.coalesce(F.col(fmt), F.lit("plain")).alias("format"), F.col(key).alias("__key"), *kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", mdx string, status string"
     read = rows.where(F.col("format").isin("latex", "html")).mapInArrow(run, schema)
-    plain = rows.where(~F.col("format").isin("latex", "html")).select("__key", "format", F.when(F.col("format") == "markdown", markdown_to_mdx(F.col("__text"))).otherwise(F.col("__text")).alias("mdx"), F.lit("success").alias("status"))
+    same = [f.name for f in rows.schema.fields[1:]]
+    plain = rows.where(~F.col("format").isin("latex", "html")).select(*same, F.when(F.col("format") == "markdown", markdown_to_mdx(F.col("__text"))).otherwise(F.col("__text")).alias("mdx"), F.lit("success").alias("status"))
     out = run_stages(read.unionByName(plain), "mdx")
-    return out.select(F.col("__key").alias(key), "format", "mdx", F.length("mdx").cast("bigint").alias("n_chars"), "status")
+    return out.select(F.col("__key").alias(key), "format", "mdx", F.length("mdx").cast("bigint").alias("n_chars"), "status", *(F.col(f"__keep_{c}").alias(c) for c in keep))
 
 
 def bidi_runs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -44,6 +44,70 @@ def reachable(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return seen
 
 
+#: Levels of files inside files that are inlined.
+MOST_INPUTS = 10
+_INPUT = r"\\(?:input|include)[ \t]*\{([^}]+)\}"
+
+
+def inlined(files: DataFrame, path: str, text: str, where: Column | None = None) -> DataFrame:
+    """``files`` with every input and include replaced by the file that it names, MOST_INPUTS levels deep.
+
+    Names are relative to the folder of the file that is read; .tex is added
+    where it lacks. The command of a missing file stays, as does one of a file
+    inside itself beyond the last level. Only files that name others are
+    joined, with the texts that they name; it ends when none is left. ``path``
+    is unique.
+    """
+    files = files.withColumn("__in", rx.has(F.col(text), _INPUT) & (where if where is not None else F.lit(True)))
+    folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+
+    def target(name: Column, base: Column) -> Column:
+        name = F.trim(name)
+        return F.concat(base, F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex"))))
+
+    open_ = written(files.where("__in").select(F.col(path).alias("__p"), folder.alias("__f"), F.col(text).alias("__t")))
+    if not open_.take(1):
+        return files.drop("__in")
+    sources = files.select(F.col(path).alias("__target"), F.col(text).alias("__child"))
+    for _ in range(MOST_INPUTS):
+        named = open_.select("__p", F.explode(F.array_distinct(F.transform(rx.every(F.col("__t"), _INPUT, 1), lambda n: target(n, F.col("__f"))))).alias("__target"))
+        found = named.join(sources, "__target").groupBy("__p").agg(F.map_from_entries(F.collect_list(F.struct("__target", F.coalesce("__child", F.lit("")).alias("c")))).alias("__m"))
+        # as many texts as the file names
+        spliced = rx.splice(F.col("__t"), _INPUT, fix_match=lambda m: F.coalesce(F.element_at(F.col("__m"), target(F.regexp_extract(m, _INPUT, 1), F.col("__f"))), m))
+        new = open_.join(found, "__p", "left").select("__p", "__f", F.when(F.col("__m").isNotNull(), spliced).otherwise(F.col("__t")).alias("__t"), F.col("__m").isNotNull().alias("__more"))
+        open_ = written(new)
+        if not open_.where("__more").take(1):
+            break
+    done = open_.select(F.col("__p").alias(path), F.col("__t").alias("__new"))
+    # the others don't move
+    rest, joined = files.where("not __in"), files.where("__in").join(done, path)
+    return rest.drop("__in").unionByName(joined.withColumn(text, F.col("__new")).drop("__in", "__new"))
+
+
+def cross_references(chapters: DataFrame, doc: str, chapter: str, slug: str, text: str) -> DataFrame:
+    """``chapters`` with the references to labels of other chapters of their document as links to those chapters.
+
+    A label belongs to the chapter that defines it (the last one by ``chapter``
+    if several do). References in the chapter itself, and to labels that no
+    chapter has, stay.
+    """
+    label = r"\\label\{([^}]+)\}|\{#([^}\s]+)\}|id=[\"']([^\"']+)[\"']"
+    defined = chapters.select(doc, chapter, F.col(slug).alias("__slug"), F.explode(F.array_distinct(F.filter(F.flatten(F.array(*(rx.every(F.col(text), label, i) for i in (1, 2, 3)))), lambda x: x != ""))).alias("__label"))
+    defined = defined.withColumn("__label", F.regexp_replace("__label", "[^a-zA-Z0-9-]", "-"))
+    owner = defined.groupBy(doc, "__label").agg(F.max_by("__slug", chapter).alias("__to"), F.max(chapter).alias("__own"))
+    used = r"<CrossRef target=\"([^\"]+)\"(?: type=\"equation\")? />"
+    refs = chapters.select(doc, chapter, F.explode(F.array_distinct(rx.every(F.col(text), used, 1))).alias("__label"))
+    known = refs.join(owner, [doc, "__label"]).where(F.col(chapter) != F.col("__own"))
+    known = known.groupBy(doc, chapter).agg(F.map_from_entries(F.collect_list(F.struct("__label", "__to"))).alias("__links"))  # as many as the chapter has references
+
+    def link(m: Column) -> Column:
+        name = F.regexp_extract(m, used, 1)
+        return F.when(F.element_at(F.col("__links"), name).isNotNull(), F.concat(F.lit("["), name, F.lit("](../"), F.element_at(F.col("__links"), name), F.lit("#"), name, F.lit(")"))).otherwise(m)
+
+    out = chapters.join(known, [doc, chapter], "left")
+    return out.withColumn(text, F.when(F.col("__links").isNotNull(), rx.splice(F.col(text), used, fix_match=link)).otherwise(F.col(text))).drop("__links")
+
+
 def project_structure(files: DataFrame) -> DataFrame:
     """Structure, main format and main entry of every project of ``files`` (project_id, doc_id, path, source_format, lang, is_book)."""
     by_format = files.groupBy("project_id", "source_format").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("is_book").alias("is_book"))

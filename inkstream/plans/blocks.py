@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import rx
 from inkstream.operators import blocks as B
+from inkstream.operators import boxes
 from inkstream.sources.tables import spread, table
 
 
@@ -159,6 +160,26 @@ def theorems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("name", F.element_at(kinds, F.col("name")).alias("component")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def node_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theorem-like environments of nodes as components with title, label and body."""
+    n = table(spark, sf_dir, "nodes").where(F.col("name").isin(*boxes.ENVIRONMENTS) & F.col("body").isNotNull()).select("node_uid", "name", "opts", "body").distinct()
+    title = F.when(F.size("opts") > 0, F.concat(F.lit("["), F.col("opts")[0], F.lit("]"))).otherwise("")
+    text = F.concat(F.lit("\\begin{"), F.col("name"), F.lit("}"), title, F.col("body"), F.lit("\\end{"), F.col("name"), F.lit("}"))
+    return boxes.boxes(n.select("node_uid", text.alias("text")), "node_uid", "text", ("latex",)).where("pos = 0").drop("pos", "source")
+
+
+def callout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callouts of chapters as components with title and body."""
+    return boxes.boxes(_chapters(spark, sf_dir), "chapter_id", "text", ("callout",)).drop("source", "label")
+
+
+def all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of every notation in documents, chapters and text nodes, counted by source, kind and component."""
+    texts = _docs(spark, sf_dir).select("text").unionByName(_chapters(spark, sf_dir).select("text")).unionByName(_text_nodes(spark, sf_dir).select(F.col("content").alias("text")))
+    found = boxes.boxes(texts.withColumn("k", F.lit(1)), "k", "text")
+    return found.groupBy("source", "kind", "component").agg(F.count("*").alias("n"), F.count("title").alias("n_titled"), F.sum(F.length("body")).alias("n_chars"))
+
+
 def components_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of chapters against what they import."""
     used = B.single(_chapters(spark, sf_dir), "chapter_id", "text", B.COMPONENT, "component").select("chapter_id", "component").distinct()
@@ -183,7 +204,7 @@ def jsx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node_uid", B.html_to_jsx(F.col("content")).alias("jsx"))
 
 
-_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, components_used, headings_outline, latex_sections, jsx_conversion)
+_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, node_boxes, callout_boxes, all_boxes, components_used, headings_outline, latex_sections, jsx_conversion)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 
@@ -232,7 +253,17 @@ def _code(key: str, text: str, source: str) -> str:
     return f"(SELECT {key}, source, pos, coalesce({_ALIAS.format(c="nullif(lower(trim(d)), '')")}, {_guess('t')}) AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM ({' UNION ALL '.join(parts)}))"
 
 
+_BOX = "'<' || component || CASE WHEN kind <> '' THEN ' type=\"' || kind || '\"' ELSE '' END || CASE WHEN title IS NOT NULL THEN ' title=\"' || title || '\"' ELSE '' END || {label}'>' || chr(10) || CASE WHEN body <> '' THEN chr(10) || body || chr(10) || chr(10) ELSE '' END || '</' || component || '>'"
 SQL = {
+    "node_boxes": rf"""WITH n AS (SELECT DISTINCT node_uid, name, nullif(trim(opts[1]), '') AS title, body AS b FROM nodes WHERE body IS NOT NULL AND name IN ('theorem', 'lemma', 'corollary', 'proposition', 'definition', 'example', 'proof', 'remark', 'note', 'warningbox', 'notebox', 'caution', 'important')),
+p AS (SELECT node_uid, title, nullif(regexp_extract(b, '\\label\{{([^{{}}]*)\}}', 1), '') AS label, {_TRIM.format(c="regexp_replace(b, '" + chr(92) * 2 + "label" + chr(92) + "{[^{}]*" + chr(92) + "}', '', 'g')")} AS body,
+ CASE WHEN name IN ('theorem', 'lemma', 'corollary', 'proposition') THEN 'Theorem' WHEN name = 'definition' THEN 'Definition' WHEN name = 'example' THEN 'Example' WHEN name = 'proof' THEN 'Proof' ELSE 'Admonition' END AS component,
+ CASE WHEN name IN ('definition', 'example', 'proof') THEN '' WHEN name IN ('remark', 'notebox') THEN 'note' WHEN name = 'warningbox' THEN 'warning' ELSE name END AS kind FROM n)
+SELECT node_uid, kind, title, body, label, component, {_BOX.format(label="CASE WHEN label IS NOT NULL THEN ' id=" + chr(34) + "' || label || '" + chr(34) + "' ELSE '' END || ")} AS mdx FROM p""",
+    "callout_boxes": rf"""WITH c AS (SELECT chapter_id, regexp_extract_all(mdx_content, '(?m)^>[ \t]*\[!([A-Z]+)\][ \t]*(.*)$((?:\n>.*)*)', 1) AS w, regexp_extract_all(mdx_content, '(?m)^>[ \t]*\[!([A-Z]+)\][ \t]*(.*)$((?:\n>.*)*)', 2) AS t, regexp_extract_all(mdx_content, '(?m)^>[ \t]*\[!([A-Z]+)\][ \t]*(.*)$((?:\n>.*)*)', 3) AS b FROM chapters),
+p AS (SELECT chapter_id, i - 1 AS pos, CASE w[i] WHEN 'TIP' THEN 'tip' WHEN 'TODO' THEN 'tip' WHEN 'INFO' THEN 'info' WHEN 'ABSTRACT' THEN 'info' WHEN 'WARNING' THEN 'warning' WHEN 'DANGER' THEN 'danger' WHEN 'BUG' THEN 'danger' WHEN 'CAUTION' THEN 'caution' WHEN 'IMPORTANT' THEN 'important' WHEN 'EXAMPLE' THEN 'example' ELSE 'note' END AS kind,
+ nullif(trim(t[i]), '') AS title, {_TRIM.format(c="regexp_replace(b[i], '(?m)^>[ " + chr(92) + "t]*', '', 'g')")} AS body, 'Admonition' AS component FROM c, unnest(range(1, len(w) + 1)) AS u(i))
+SELECT chapter_id, pos, kind, title, body, component, {_BOX.format(label="")} AS mdx FROM p""".replace("\\\\", "\\"),
     "math_stats": _kinds("doc_id", "text", "documents", _MATH),
     "math_blocks": f"SELECT chapter_id, pos, {_TRIM.format(c='a')} AS tex FROM {_one('chapter_id', 'mdx_content', 'chapters', B.DOLLARS)}",
     "math_environments": f"""SELECT DISTINCT node_uid, name, CASE name WHEN 'equation' THEN '$$' || body || '$$' ELSE '$$' || chr(92) || 'begin{{aligned}}' || body || chr(92) || 'end{{aligned}}$$' END AS mdx, regexp_extract(body, '{B.LABEL}', 1) AS label

@@ -15,7 +15,7 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 
 #: Queries that may find nothing in tables as small as these.
-SPARSE = {"broken_anchors", "numbered_footnotes", "removed_commands", "html_table_models"}
+SPARSE = {"broken_anchors", "numbered_footnotes", "removed_commands", "html_table_models", "all_boxes"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))

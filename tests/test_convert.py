@@ -3,9 +3,10 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstream import engine
-from inkstream.operators import convert, corpus, html, latex
+from inkstream.operators import bibtex, boxes, convert, corpus, html, latex
 from inkstream.plans import corpus as plans
 from inkstream.sources import files, sinks
 
@@ -70,12 +71,48 @@ def test_yaml_scalar(value, scalar):
     assert latex.yaml_scalar(value) == scalar
 
 
-def test_html_to_mdx():
-    mdx = html.to_mdx("<html lang=fa><title>T</title><h2>H</h2><ul><li>a<li>b</ul><table><tr><th>x<td>y<tr><td>1<td>2</table><p>q <b>w</b> <a href=u>v</a><script>no</script>")
-    for part in ("title: T", "lang: fa", "## H", "- a\n- b", "| x | y |", "| 1 | 2 |", "**w**", "[v](u)"):
-        assert part in mdx
-    assert "no" not in mdx.split("---")[-1]
-    assert html.to_mdx("</p></div><b") is not None
+@pytest.mark.parametrize(
+    ("source", "mdx"),
+    [
+        ("<html lang=fa><title>T: x</title><meta content=d name=description><h2 id=a>H</h2>", "---\ntitle: 'T: x'\ndescription: d\nlang: fa\n---\n\n## H {#a}\n"), ("<ul><li>a<li>b<ol start=3><li>c</ol></ul>", "- a\n- b\n  3. c\n"), ("<dl><dt>t<dd>d</dl>", "**t**\n: d\n"),
+        ("<figure><img src=i alt=x><figcaption>C</figcaption></figure>", '<Figure src="i" alt="x" caption="C" />\n'), ("<details><summary>S</summary>b <b>q</b></details>", '<Details title="S">\n\nb **q**\n\n</Details>\n'),
+        ("<form action=/x method=post><input name=n type=text></form>", "{/* Form[action=/x, method=POST, fields=n(text)] */}\n"), ('<math display=block><annotation encoding="application/x-tex">x^2</annotation></math>', "$$\nx^2\n$$\n"),
+        ("<span class=katex data-latex=y>z</span> <span data-tex=w></span> <script type='math/tex'>s</script><script>no</script>", "$y$ $w$ $s$\n"), ("<math><mi>a</mi> <mo>+</mo></math>", "$a+$\n"),
+        ("<table><caption>C</caption><tr><th>x<td>y|z<tr><td>1</table>", "**C**\n\n| x | y\\|z |\n| --- | ---- |\n| 1 |  |\n"), ("<table><tr><td colspan=2>m</table>", "<table>\n  <tr>\n    <td colSpan={2}>m</td>\n  </tr>\n</table>\n"),
+        ('<pre><code class="language-py">a\nb</code></pre>', "```py\na\nb\n```\n"), ("<video src=v controls></video><iframe src=f></iframe>", '<Video src="v" controls={true} />\n\n<Embed src="f" title="Embedded content" />\n'),
+        ("<blockquote>q1<p>q2</blockquote>", "> q1\n>\n> q2\n"), ("<div dir=rtl>w</div><!-- c -->", '<div dir="rtl">\n\nw\n\n</div>\n\n{/* c */}\n'), ("a<br>b <a href=u title=t>v</a><a href=w></a> <kbd>k</kbd>", 'a\\\nb [v](u "t")w <kbd>k</kbd>\n'), ("</p></div>", "\n"),
+    ],
+)
+def test_html_rules(source, mdx):
+    assert html.to_mdx(source) == mdx
+
+
+def test_html_of_any_depth():
+    assert html.to_mdx("<div>" * 50_000 + "x") == "x\n" and html.to_mdx(None) is None and html.to_mdx("<b") is not None
+    names = list(html.pictures(html.read("<svg><path d=a /></svg><p><svg><path d=a /></svg>")))
+    assert len(names) == 1 and names[0].startswith("svg-")
+
+
+def test_boxes(spark):
+    text = "\\begin{theorem}[N]\\label{a}b\\end{theorem} \\begin{tcolorbox}[title=T,colback=red!5]x\\end{tcolorbox}\n> [!WARNING] W\n> l1\n> l2\n\n<div class=\"my-tip\">h</div><details><summary>S</summary>b</details>\n.. hint:: X\n\n   i1\n   i2\n\nend"
+    rows = boxes.boxes(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t").collect()
+    assert {tuple(r)[:8] for r in rows} == {
+        (1, "latex", 0, "theorem", "N", "b", "a", "Theorem"), (1, "tcolorbox", 0, "warning", "T", "x", None, "Admonition"), (1, "callout", 0, "warning", "W", "l1\nl2", None, "Admonition"), (1, "html", 0, "tip", None, "h", None, "Admonition"),
+        (1, "details", 0, "", "S", "b", None, "Details"), (1, "directive", 0, "tip", "X", "i1\ni2", None, "Admonition"),
+    }
+    assert next(r["mdx"] for r in rows if r["source"] == "latex") == '<Theorem type="theorem" title="N" id="a">\n\nb\n\n</Theorem>'
+
+
+def test_bibtex(spark):
+    text = '@Article{k1,\n  author = {A, B and C},\n  title = {{The X}},\n  year = "2001",\n  volume = 3\n}\n@book{k2,\n  title = {کتاب}\n}\n@x{open'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string")
+    rows = bibtex.entries(df, "k", "t").collect()
+    assert [(r["entry_id"], r["entry_type"], r["author"], r["title"], r["year"], r["volume"], r["language"]) for r in rows] == [("k1", "article", "A, B and C", "The X", "2001", "", "en"), ("k2", "book", "", "کتاب", "", "", "fa")]
+    section = bibtex.sections(bibtex.entries(df, "k", "t"), "k", "pos").collect()
+    assert section[0]["mdx"] == '## کتاب‌نامه\n\n### منابع فارسی\n\n<span id="ref-k2"></span> *کتاب*.\n\n### منابع انگلیسی\n\n<span id="ref-k1"></span> A, B and C (2001). *The X*.\n'
+    cites = bibtex.cited(spark.createDataFrame([(1, r"\cite{k1, no} \citep[p. 2]{k1} \citet{k2}")], "k int, t string"), "k", "t")
+    got = {r["pos"]: r["mdx"] for r in bibtex.rendered_citations(cites, bibtex.entries(df, "k", "t"), "k").collect()}
+    assert got == {0: "[A, 2001](#ref-k1); [no](#ref-no)", 1: "([A, 2001, p. 2](#ref-k1))", 2: "? [(n.d.)](#ref-k2)"}
 
 
 def test_converters_and_errors(spark):
@@ -101,6 +138,20 @@ def test_closure_of_a_long_chain(spark, tmp_path):
     assert {tuple(r) for r in plans.include_closure(spark, str(tmp_path)).collect()} == {(d, 8 - d) for d in range(1, 8)}
 
 
+def test_inlined(spark):
+    rows = [("a/main.tex", r"x \input{one} \include{sub/two.tex} \input{no} y"), ("a/one.tex", r"1\input{sub/two}"), ("a/sub/two.tex", "2"), ("a/self.tex", r"s\input{self}"), ("b/c.md", r"\input{c}"), ("b/n.tex", None)]
+    out = dict(corpus.inlined(spark.createDataFrame(rows, "path string, t string"), "path", "t", F.col("path").endswith(".tex")).collect())
+    assert out["a/main.tex"] == r"x 12 2 \input{no} y" and out["a/one.tex"] == "12" and out["b/c.md"] == r"\input{c}" and out["b/n.tex"] is None
+    assert out["a/self.tex"].startswith("ss") and len(out) == 6
+    assert corpus.inlined(spark.createDataFrame(rows[2:3], "path string, t string"), "path", "t").collect()[0]["t"] == "2"
+
+
+def test_cross_references(spark):
+    rows = [(1, 1, "one", r'\label{eq:a} <CrossRef target="eq-a" /> <CrossRef target="fig-b" type="equation" /> <CrossRef target="no" />'), (1, 2, "two", '<Figure id="fig:b" />'), (2, 1, "other", '<CrossRef target="eq-a" />'), (1, 3, "three", None)]
+    out = {r["slug"]: r["t"] for r in corpus.cross_references(spark.createDataFrame(rows, "d int, c int, slug string, t string"), "d", "c", "slug", "t").collect()}
+    assert out["one"] == r'\label{eq:a} <CrossRef target="eq-a" /> [fig-b](../two#fig-b) <CrossRef target="no" />' and out["other"] == '<CrossRef target="eq-a" />' and out["three"] is None
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", None)], "k bigint, v string, t bigint")
     assert {(r["k"], r["v"]) for r in corpus.latest(df, "k", "t").collect() if r["k"]} >= {(1, "b")}
