@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import persian, rx, slugs
 
-#: Commands that are removed with their arguments, and those of which the argument stays.
-REMOVED = "label vspace hspace vskip hskip pagestyle thispagestyle setlength addtolength setcounter newpage clearpage pagebreak noindent centering raggedright maketitle tableofcontents listoffigures listoftables bibliographystyle usepackage documentclass pagenumbering index small large Large huge hfill vfill".split()
-UNWRAPPED = "mbox hbox text textrm textsf textnormal textup".split()
+#: Commands that are removed with their arguments, and what others become.
+REMOVED = (
+    "geometry pagestyle thispagestyle fancyhf fancyhead fancyfoot headrulewidth footrulewidth setlength addtolength settextfont setlatintextfont setdigitfont setmathfont setmonofont selectfont usepackage RequirePackage "
+    "pgfplotsset usetikzlibrary tikzset graphicspath setcounter addtocounter stepcounter newcounter refstepcounter vspace vfill bigskip medskip smallskip hspace hfill phantom hphantom vphantom definecolor colorlet "
+    "bibliographystyle documentclass makeatletter makeatother newcommand renewcommand providecommand newenvironment renewenvironment newtcbtheorem newtcolorbox DeclareTColorBox AtBeginDocument AtEndDocument DeclareOption "
+    "ProcessOptions pagenumbering addbibresource nocite normalsize small footnotesize scriptsize tiny large Large LARGE huge Huge bfseries itshape rmfamily ttfamily sffamily mdseries upshape slshape centering raggedleft "
+    "raggedright raggedbottom noindent indent frontmatter mainmatter backmatter maketitle tableofcontents listoffigures listoftables"
+).split()
+CONVERTED = {"clearpage": "\n\n---\n\n", "newpage": "\n\n---\n\n", "pagebreak": "\n\n---\n\n", "quad": "&emsp;", "qquad": "&emsp;&emsp;", "thinspace": "&thinsp;", "enspace": "&ensp;", "linebreak": "  \n"}
 COMMENT = r"(?m)(^|[^\\])%.*$"
 MACRO = r"\\(?:re)?newcommand\*?\{?\\([a-zA-Z]+)\}?(?:\[([0-9])\])?\{((?:[^{}]|\{[^{}]*\})*)\}"
 FOOTNOTE = r"\\footnote\{(?:[^{}]|\{[^{}]*\})*\}"
@@ -18,12 +24,19 @@ DIRECTIVE = r"(?m)^\.\. (note|tip|warning|danger|caution|important|hint|attentio
 DIRECTIVE_KINDS = {"note": "note", "tip": "tip", "warning": "warning", "danger": "danger", "caution": "caution", "important": "important", "hint": "tip", "attention": "warning", "error": "danger", "seealso": "info"}
 
 
-def clean(text: Column) -> Column:
-    """Comments and layout commands removed, wrappers opened, at most one empty line."""
+_ARGUMENTS = r"(?![a-zA-Z@])\*?(?:[ \t\r\n]*\[[^\]]*\])*(?:[ \t\r\n]*\{[^}]*\})*"
+
+
+def clean(text: Column, removed: tuple[str, ...] = (), converted: dict[str, str] | None = None) -> Column:
+    """Comments and layout commands removed with their arguments, page breaks and spaces converted, at most two empty lines, no space at the ends of lines.
+
+    ``removed`` and ``converted`` add commands to the fixed ones. Half-spaces stay.
+    """
     text = F.regexp_replace(text, COMMENT, "$1")
-    text = F.regexp_replace(text, r"\\(" + "|".join(REMOVED) + r")\*?(?![a-zA-Z@])([ \t]*\[[^\]\n]*\])*([ \t]*\{[^{}\n]*\})*[ \t]*", "")
-    text = F.regexp_replace(text, r"\\(" + "|".join(UNWRAPPED) + r")\{([^{}]*)\}", "$2")
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(text, r"\\(?:" + "|".join((*REMOVED, *removed)) + ")" + _ARGUMENTS + "[ \t]*", "")
+    for name, to in (CONVERTED | (converted or {})).items():
+        text = F.regexp_replace(text, rf"\\{name}{_ARGUMENTS}", to)
+    return F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"(?m)[ \t]+$", "")
 
 
 def title(text: Column) -> Column:
@@ -73,8 +86,8 @@ def wrap_blocks(text: Column) -> Column:
 
 
 def rtl(text: Column) -> Column:
-    """Letters, blocks and frontmatter of a right-to-left page."""
-    return with_direction(wrap_blocks(persian.outside_protected(text, persian.fix_letters)))
+    """Letters, blocks, left-to-right paragraphs and frontmatter of a right-to-left page."""
+    return with_direction(persian.wrap_ltr(wrap_blocks(persian.outside_protected(text, persian.fix_letters))))
 
 
 def style_object(css: Column) -> Column:

@@ -26,9 +26,12 @@ def zwnj_count(text: Column) -> Column:
 
 
 def zwnj_positions(text: Column) -> Column:
-    """positions of half-spaces, from 0."""
-    chars = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
-    return F.filter(chars, lambda i: F.substring(text, i + 1, F.lit(1)) == ZWNJ)
+    """positions of half-spaces, from 0: sums of the lengths between them, in one pass."""
+    parts = F.split(text, ZWNJ, -1)
+    zero = F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["found"], F.array(a["at"] + F.length(x))).alias("found"), (a["at"] + F.length(x) + 1).alias("at"))
+    # the piece behind the last one ends the text
+    return F.when(text.isNotNull(), F.aggregate(F.slice(parts, 1, F.size(parts) - 1), zero, step, lambda a: a["found"]))
 
 
 def zwnj_report(before: Column, after: Column) -> Column:
@@ -37,6 +40,32 @@ def zwnj_report(before: Column, after: Column) -> Column:
     return F.struct(b.alias("before"), a.alias("after"), (a >= b).alias("preserved"), F.greatest(b - a, F.lit(0)).alias("lost"))
 
 
+def zwnj_report_exact(before: Column, after: Column) -> Column:
+    """kept if as many half-spaces remain; the numbers of those lost."""
+    b, a = zwnj_count(before), zwnj_count(after)
+    return F.struct(b.alias("before"), a.alias("after"), (a == b).alias("preserved"), F.when(b > a, F.sequence(F.lit(0).cast("bigint"), b - a - 1)).otherwise(F.array().cast("array<bigint>")).alias("positions_lost"))
+
+
+#: A character of private use that stands for a half-space while others are rewritten.
+TOKEN = "\ue200"
+
+
+def protected_zwnj(text: Column, fix) -> Column:
+    """``fix`` applied to ``text`` with its half-spaces out of reach."""
+    return F.replace(fix(F.replace(text, F.lit(ZWNJ), F.lit(TOKEN))), F.lit(TOKEN), F.lit(ZWNJ))
+
+
+def ensure_zwnj(word: Column, prefix: str | None = None, suffix: str | None = None) -> Column:
+    """a half-space between a prefix or suffix and its stem."""
+    if prefix:
+        rest = F.substring(word, len(prefix) + 1, 10_000)
+        word = F.when(word.startswith(prefix) & (rest != "") & ~rest.startswith(ZWNJ), F.concat(F.lit(prefix + ZWNJ), rest)).otherwise(word)
+    if suffix:
+        stem = F.left(word, F.greatest(F.length(word) - len(suffix), F.lit(0)))
+        word = F.when(word.endswith(suffix) & (stem != "") & ~stem.endswith(ZWNJ), F.concat(stem, F.lit(ZWNJ + suffix))).otherwise(word)
+    return word
+
+
 def fix_letters(text: Column) -> Column:
     """Arabic letters to Persian ones."""
     return F.translate(text, *ARABIC_LETTERS)
@@ -72,6 +101,14 @@ def normalise(text: Column) -> Column:
     return outside_protected(text, lambda t: persian_digits(spacing(guillemets(fix_letters(t)))))
 
 
+def normalise_with(text: Column, yeh: bool = True, keh: bool = True, quotes: bool = True, spaces: bool = True, numerals: str = "persian") -> Column:
+    """letters, quotation marks, spacing and digits as configured; ۀ stays."""
+    letters_from, letters_to = ("\u064a\u0649", "\u06cc\u06cc") if yeh else ("", "")
+    letters_from, letters_to = (letters_from + "\u0643", letters_to + "\u06a9") if keh else (letters_from, letters_to)
+    digits = {"persian": persian_digits, "latin": latin_digits}.get(numerals, lambda t: t)
+    return outside_protected(F.translate(text, letters_from, letters_to) if letters_from else text, lambda t: digits((spacing if spaces else lambda x: x)((guillemets if quotes else lambda x: x)(t))))
+
+
 #: Prefixes and endings that are joined to their word by a half-space.
 _WORD = "([\u0600-\u06ff]{2,})"
 _END = "(?=[\\s.,:;!?)،؛»]|$)"

@@ -41,6 +41,44 @@ def content_score(source: Column, output: Column, cap: bool = True) -> Column:
     return F.when(F.size(shares) == 0, 25.0).otherwise(F.aggregate(capped, F.lit(0.0), lambda a, x: a + x) / F.size(shares) * 25)
 
 
+#: Patterns that count elements of a source and of the MDX made of it.
+SOURCE_ELEMENTS = {
+    "headings": r"\\(?:chapter|section|subsection|subsubsection|paragraph)", "formulas": r"\$\$|\\\[|\\begin\{(?:equation|align|gather|multline)\}", "images": r"\\includegraphics",
+    "tables": r"\\begin\{(?:tabular|longtable|table)\}", "code": r"\\begin\{(?:lstlisting|minted|verbatim)\}|```",
+}
+OUTPUT_ELEMENTS = {"headings": r"(?m)^#{1,6}\s+", "formulas": r"\$\$|\$[^\$]+\$", "images": r"<Figure|!\[", "tables": r"<table|(?m:^\|)", "code": "```"}
+
+
+def analysed(text: Column, elements: dict[str, str]) -> Column:
+    """Q07: elements and words of a source (SOURCE_ELEMENTS) or of an MDX text's body (OUTPUT_ELEMENTS)."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(*(rx.count(t, p).alias(n) for n, p in elements.items()), rx.count(t, r"\S+").alias("words"))
+
+
+def without_head(text: Column) -> Column:
+    """An MDX text behind its frontmatter."""
+    end = F.locate("---", text, 4)
+    return F.when(text.startswith("---") & (end > 0), F.substring(text, end + 3, 2_000_000_000)).otherwise(text)
+
+
+def _shares(source: Column, output: Column) -> Column:
+    return F.filter(F.array(*(F.when(source[n] > 0, output[n] / F.when(source[n] > 0, source[n])) for n in SOURCE_ELEMENTS)), lambda x: x.isNotNull())
+
+
+def content_points(source: Column, output: Column) -> Column:
+    """Q08: 25 points times the mean of the kept shares, each 1 at most, and of the words' share, which may vary by a tenth."""
+    words = output["words"] / F.when(source["words"] > 0, source["words"])
+    by_words = F.when(words.between(0.9, 1.1), 1.0).when(words < 0.9, words / 0.9).otherwise(1.0 - (words - 1.1) / 0.1)
+    kept = F.filter(F.concat(F.transform(_shares(source, output), lambda x: F.least(x, F.lit(1.0))), F.array(by_words)), lambda x: x.isNotNull())
+    return F.when(F.size(kept) == 0, 25.0).otherwise(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept) * 25)
+
+
+def quality_score(source: Column, output: Column, structural: Column | bool = True, math: Column | float = 1.0, persian: Column | float = 1.0, links: Column | float = 1.0) -> Column:
+    """Q09: structure 25, least kept share times 25, formulas 20, Persian 20, links 10, rounded to even."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.bround(F.when(lit(structural), 25.0).otherwise(0.0) + F.coalesce(F.array_min(_shares(source, output)), F.lit(1.0)) * 25 + lit(math) * 20 + lit(persian) * 20 + lit(links) * 10).cast("bigint")
+
+
 def preserved(source: Column, output: Column) -> Column:
     """Q02: nine tenths of headings and formulas and all half-spaces are kept."""
     return (ratio(source["headings"], output["headings"]) >= 0.9) & (ratio(source["formulas"], output["formulas"]) >= 0.9) & (ratio(source["half_spaces"], output["half_spaces"]) >= 1.0)

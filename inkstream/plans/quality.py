@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.functions import persian
+from inkstream.functions import persian, rx
 from inkstream.operators import quality as Q
 from inkstream.sources.tables import spread, table
 
@@ -26,6 +26,26 @@ def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("chapter_id", Q.preserved(F.col("s"), F.col("o")).alias("preserved"), F.round(Q.content_score(F.col("s"), F.col("o")), 4).alias("score"), F.round(Q.content_score(F.col("s"), F.col("o"), False), 4).alias("least_score"))
 
 
+def chapter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter's MDX against the text of its document; counts are joined, not texts."""
+    source = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", Q.analysed(F.col("text"), Q.SOURCE_ELEMENTS).alias("s"))
+    output = table(spark, sf_dir, "chapters").where("mdx_content is not null").select("chapter_id", "doc_id", Q.analysed(Q.without_head(F.col("mdx_content")), Q.OUTPUT_ELEMENTS).alias("o"))
+    both = output.join(source, "doc_id")
+    score = Q.quality_score(F.col("s"), F.col("o"))
+    return both.select("chapter_id", *(F.col(f"s.{n}").alias(f"{n}_source") for n in (*Q.SOURCE_ELEMENTS, "words")), *(F.col(f"o.{n}").alias(f"{n}_output") for n in (*Q.SOURCE_ELEMENTS, "words")), F.round(Q.content_points(F.col("s"), F.col("o")), 4).alias("content_score"), score.alias("score"), Q.grade(score).alias("grade"))
+
+
+def conversion_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document converted and scored, in one pass over the texts."""
+    from inkstream.operators import convert
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source_format"))
+    mdx = convert.to_mdx(d, "doc_id", "text", "source_format", keep=("text",))
+    both = mdx.select("doc_id", "status", Q.analysed(F.col("text"), Q.SOURCE_ELEMENTS).alias("s"), Q.analysed(Q.without_head(F.col("mdx")), Q.OUTPUT_ELEMENTS).alias("o"), (~F.col("mdx").contains("\ufffd")).alias("encoding"), (F.coalesce(rx.count(F.col("mdx"), "```"), F.lit(0)) % 2 == 0).alias("fences"))
+    flags = {"frontmatter": F.col("fences"), "encoding": F.col("encoding"), "compiles": F.col("status") == "success"}
+    return both.select("doc_id", "status", F.round(Q.content_points(F.col("s"), F.col("o")), 4).alias("content_score"), Q.quality_score(F.col("s"), F.col("o"), F.col("fences")).alias("score"), Q.weighted(flags).alias("points"))
+
+
 def preflight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q06: issues of documents by level and code."""
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", "source_format", F.inline(Q.issues(F.col("text"), F.col("source_format"))))
@@ -72,7 +92,7 @@ def direction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy(F.coalesce("text_dir", F.lit("")).alias("declared"), persian.direction(F.col("title")).alias("of_title")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (element_counters, content_preservation, preflight_issues, readiness, structural_checks, quality_by_grade, metadata_issues, direction_report)}
+QUERIES = {f.__name__: f for f in (element_counters, content_preservation, chapter_quality, conversion_quality, preflight_issues, readiness, structural_checks, quality_by_grade, metadata_issues, direction_report)}
 
 
 def _c(t: str, name: str) -> str:
@@ -92,7 +112,19 @@ CASE WHEN source_format = 'markdown' AND NOT starts_with(t, '---') THEN 'warning
 CASE WHEN regexp_matches(t, '[يك]') THEN 'info:arabic-letters' END], lambda x: x IS NOT NULL)) AS i FROM (SELECT doc_id, source_format, coalesce(text, '') AS t FROM documents))"""
 _SHARES = "[" + ", ".join(f"CASE WHEN s_{n} > 0 THEN o_{n} / s_{n} END" for n in Q.COUNTERS) + "]"
 _FA, _EN = "len(regexp_extract_all(title, '[؀-ۿݐ-ݿﭐ-﷿ﹰ-\ufeff]'))", "len(regexp_extract_all(title, '[a-zA-Z]'))"
+_SOURCE = {"headings": r"\\(?:chapter|section|subsection|subsubsection|paragraph)", "formulas": r"\$\$|\\\[|\\begin\{(?:equation|align|gather|multline)\}", "images": r"\\includegraphics", "tables": r"\\begin\{(?:tabular|longtable|table)\}", "code": r"\\begin\{(?:lstlisting|minted|verbatim)\}|```", "words": r"[^ \t\n\r\f\v]+"}
+_OUTPUT = {"headings": r"(?m)^#{1,6}[ \t\n\r\f\v]+", "formulas": r"\$\$|\$[^$]+\$", "images": r"<Figure|!\[", "tables": r"<table|(?m:^\|)", "code": "```", "words": r"[^ \t\n\r\f\v]+"}
+_MATCHES = lambda t, ps, side: ", ".join(f"len(regexp_extract_all({t}, '{p}')) AS {n}_{side}" for n, p in ps.items())
+_KEPT = "list_filter([" + ", ".join(f"CASE WHEN {n}_source > 0 THEN {n}_output / {n}_source END" for n in ("headings", "formulas", "images", "tables", "code")) + "], lambda x: x IS NOT NULL)"
 SQL = {
+    "chapter_quality": f"""WITH s AS (SELECT doc_id, {_MATCHES("coalesce(text, '')", _SOURCE, "source")} FROM documents),
+b AS (SELECT chapter_id, doc_id, CASE WHEN starts_with(mdx_content, '---') AND instr(substr(mdx_content, 4), '---') > 0 THEN substr(mdx_content, instr(substr(mdx_content, 4), '---') + 6) ELSE mdx_content END AS t FROM chapters WHERE mdx_content IS NOT NULL),
+o AS (SELECT chapter_id, doc_id, {_MATCHES("t", _OUTPUT, "output")} FROM b),
+j AS (SELECT o.*, s.* EXCLUDE (doc_id), words_output / nullif(words_source, 0) AS w FROM o JOIN s USING (doc_id)),
+k AS (SELECT *, {_KEPT} AS kept, CASE WHEN w BETWEEN 0.9 AND 1.1 THEN 1.0::DOUBLE WHEN w < 0.9 THEN w / 0.9 WHEN w > 1.1 THEN 1.0 - (w - 1.1) / 0.1 END AS by_words FROM j),
+p AS (SELECT *, list_filter(list_concat(list_transform(kept, lambda x: least(x, 1.0)), [by_words]), lambda x: x IS NOT NULL) AS all_kept, CAST(round_even(25 + coalesce(list_min(kept), 1.0) * 25 + 50, 0) AS BIGINT) AS score FROM k)
+SELECT chapter_id, {', '.join(f"{n}_{side}" for side in ("source", "output") for n in ("headings", "formulas", "images", "tables", "code", "words"))}, round(CASE WHEN len(all_kept) = 0 THEN 25.0 ELSE list_sum(all_kept) / len(all_kept) * 25 END, 4) AS content_score, score,
+ CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM p""",
     "element_counters": f"SELECT doc_id, {', '.join(f'{_c('t', n)} AS {n}' for n in Q.COUNTERS)}, {_HS.format(t='t')} AS half_spaces FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "content_preservation": f"""WITH p AS (SELECT chapter_id, mdx_content AS s, regexp_replace(mdx_content, '(?m)^#{{1,6}}[ \\t]+', '', 'g') AS o FROM chapters WHERE mdx_content IS NOT NULL),
 c AS (SELECT chapter_id, {', '.join(f'{_c('s', n)} AS s_{n}, {_c('o', n)} AS o_{n}' for n in Q.COUNTERS)} FROM p), l AS (SELECT *, list_filter({_SHARES}, lambda x: x IS NOT NULL) AS sh FROM c)

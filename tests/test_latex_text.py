@@ -10,7 +10,8 @@ from inkstream.operators import convert
 @pytest.mark.parametrize(
     ("column", "text", "expected"),
     [
-        (L.clean, "a % note\n\\label{x}b \\mbox{c}\n\n\n\nd \\% e", "a\nb c\n\nd \\% e"),
+        (L.clean, "a % note\n\\label{x}b \\vspace*{1em} c \\quad d\\newpage\n\n\n\nd \\% e \\smallcaps", "a\n\\label{x}b c &emsp; d\n\n\nd \\% e \\smallcaps".replace("d\n\n\nd", "d\n\n---\n\n\nd")),
+        (lambda c: L.clean(c, ("xx",), {"yy": "z"}), "\\xx{1}a\\yy b", "az b"),
         (L.clean, None, None),
         (L.title, r"\textbf{A}~B $x$ {C}", "A B x C"),
         (L.direction_spans, r"\lr{ab} \begin{latin} x \end{latin}", '<span dir="ltr">ab</span> <div dir="ltr">\n\nx\n\n</div>'),
