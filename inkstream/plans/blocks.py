@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import rx
 from inkstream.operators import blocks as B
-from inkstream.operators import boxes
+from inkstream.operators import boxes, figures
 from inkstream.sources.tables import spread, table
 
 
@@ -180,6 +180,13 @@ def all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source", "kind", "component").agg(F.count("*").alias("n"), F.count("title").alias("n_titled"), F.sum(F.length("body")).alias("n_chars"))
 
 
+def figure_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of nodes with source, caption and label, as components."""
+    n = table(spark, sf_dir, "nodes").where("name = 'figure' and body is not null").select("node_uid", "body").distinct()
+    text = F.concat(F.lit("\\begin{figure}"), F.col("body"), F.lit("\\end{figure}"))
+    return figures.figures(n.select("node_uid", text.alias("text")), "node_uid", "text").drop("parts", "position", "width")
+
+
 def components_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of chapters against what they import."""
     used = B.single(_chapters(spark, sf_dir), "chapter_id", "text", B.COMPONENT, "component").select("chapter_id", "component").distinct()
@@ -204,7 +211,7 @@ def jsx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node_uid", B.html_to_jsx(F.col("content")).alias("jsx"))
 
 
-_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, node_boxes, callout_boxes, all_boxes, components_used, headings_outline, latex_sections, jsx_conversion)
+_FUNCTIONS = (math_stats, math_blocks, math_environments, math_validation, math_to_mdx, code_blocks, code_stats, code_nodes, links_of_chapters, link_stats, references_resolved, citations_resolved, footnotes, latex_footnotes, bibliography_stats, raw_fields, pipe_cells, tabular_cells, html_tables, images, callouts, theorems, figure_models, node_boxes, callout_boxes, all_boxes, components_used, headings_outline, latex_sections, jsx_conversion)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 
@@ -255,6 +262,10 @@ def _code(key: str, text: str, source: str) -> str:
 
 _BOX = "'<' || component || CASE WHEN kind <> '' THEN ' type=\"' || kind || '\"' ELSE '' END || CASE WHEN title IS NOT NULL THEN ' title=\"' || title || '\"' ELSE '' END || {label}'>' || chr(10) || CASE WHEN body <> '' THEN chr(10) || body || chr(10) || chr(10) ELSE '' END || '</' || component || '>'"
 SQL = {
+    "figure_models": r"""WITH b AS (SELECT DISTINCT node_uid, body FROM nodes WHERE name = 'figure' AND body IS NOT NULL),
+f AS (SELECT node_uid, nullif(trim(regexp_extract(body, '\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}', 1)), '') AS src, nullif(trim(regexp_extract(body, '\\caption\{([^{}]*)\}', 1)), '') AS caption, nullif(trim(regexp_extract(body, '\\label\{([^{}]*)\}', 1)), '') AS label FROM b)
+SELECT node_uid, 'figure' AS kind, 0 AS pos, src, caption, label, '<Figure' || CASE WHEN label IS NOT NULL THEN ' id="' || label || '"' ELSE '' END || '>' || chr(10) || '  <Image src="' || coalesce(src, '') || '" alt="' || coalesce(caption, '') || '" />' || chr(10)
+ || CASE WHEN caption IS NOT NULL THEN '  <figcaption>' || caption || '</figcaption>' || chr(10) ELSE '' END || '</Figure>' AS mdx FROM f""",
     "node_boxes": rf"""WITH n AS (SELECT DISTINCT node_uid, name, nullif(trim(opts[1]), '') AS title, body AS b FROM nodes WHERE body IS NOT NULL AND name IN ('theorem', 'lemma', 'corollary', 'proposition', 'definition', 'example', 'proof', 'remark', 'note', 'warningbox', 'notebox', 'caution', 'important')),
 p AS (SELECT node_uid, title, nullif(regexp_extract(b, '\\label\{{([^{{}}]*)\}}', 1), '') AS label, {_TRIM.format(c="regexp_replace(b, '" + chr(92) * 2 + "label" + chr(92) + "{[^{}]*" + chr(92) + "}', '', 'g')")} AS body,
  CASE WHEN name IN ('theorem', 'lemma', 'corollary', 'proposition') THEN 'Theorem' WHEN name = 'definition' THEN 'Definition' WHEN name = 'example' THEN 'Example' WHEN name = 'proof' THEN 'Proof' ELSE 'Admonition' END AS component,

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream import engine
-from inkstream.operators import bibtex, boxes, convert, corpus, html, latex
+from inkstream.functions import persian
+from inkstream.operators import bibtex, boxes, convert, corpus, figures, html, latex
 from inkstream.plans import corpus as plans
 from inkstream.sources import files, sinks
 
@@ -103,6 +104,32 @@ def test_boxes(spark):
     assert next(r["mdx"] for r in rows if r["source"] == "latex") == '<Theorem type="theorem" title="N" id="a">\n\nb\n\n</Theorem>'
 
 
+def test_figures(spark):
+    text = r"\begin{figure}[ht]\includegraphics[width=1cm]{a}\caption{C}\label{f:a}\end{figure}\begin{wrapfigure}{r}{2cm}\includegraphics{b}\end{wrapfigure}\begin{figure}\begin{subfigure}{1cm}\includegraphics{c}\caption{P}\end{subfigure}\caption{G}\end{figure}"
+    rows = figures.figures(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t", {"b": "new/b.png"}).collect()
+    got = {(r["kind"], r["pos"]): r for r in rows}
+    assert len(rows) == 3 and got["figure", 0]["mdx"] == '<Figure id="f:a">\n  <Image src="a" alt="C" />\n  <figcaption>C</figcaption>\n</Figure>'
+    assert got["wrapfigure", 0]["mdx"] == '<Figure float="right">\n  <Image src="new/b.png" alt="" />\n</Figure>' and got["wrapfigure", 0]["width"] == "2cm"
+    assert got["figure", 1]["mdx"] == '<FigureGrid>\n  <Figure>\n  <Image src="c" alt="P" />\n  <figcaption>P</figcaption>\n</Figure>\n  <figcaption>G</figcaption>\n</FigureGrid>'
+    tikz = spark.createDataFrame([(1, r"\begin{tikzpicture} x \end{tikzpicture}\caption{T}\begin{tikzpicture}y\end{tikzpicture}"), (2, None)], "k int, t string")
+    assert [tuple(r) for r in figures.drawings(tikz, "k", "t").collect()] == [(1, 0, "x", "T"), (1, 1, "y", "")]
+    mdx = spark.createDataFrame([("a<TikZDiagram>x</TikZDiagram>b<TikZDiagram>y</TikZDiagram>", ["p.svg"])], "m string, p array<string>")
+    assert mdx.select(figures.with_drawings(F.col("m"), F.col("p"))).collect()[0][0] == 'a<Image src="p.svg" alt="" />b<TikZDiagram>y</TikZDiagram>'
+
+
+def test_half_spaces(spark):
+    z = persian.ZWNJ
+    df = spark.createDataFrame([(f"a{z}b{z}",), (None,), ("",), (z,)], "t string")
+    assert [r[0] for r in df.select(persian.zwnj_positions(F.col("t"))).collect()] == [[1, 3], None, [], [0]]
+    one = df.limit(1)
+    report = one.select(persian.zwnj_report_exact(F.col("t"), F.lit("ab")).alias("r")).collect()[0]["r"]
+    assert tuple(report) == (2, 0, False, [0, 1])
+    assert one.select(persian.protected_zwnj(F.col("t"), lambda t: F.regexp_replace(t, f"[{z}]", ""))).collect()[0][0] == f"a{z}b{z}"
+    words = spark.createDataFrame([("میرود",), (f"می{z}رود",), ("کتابها",), ("می",)], "t string")
+    assert [r[0] for r in words.select(persian.ensure_zwnj(F.col("t"), "می", "ها")).collect()] == [f"می{z}رود", f"می{z}رود", f"کتاب{z}ها", "می"]
+    assert spark.createDataFrame([('ۀ ي "x" 1',)], "t string").select(persian.normalise_with(F.col("t"), numerals="keep")).collect()[0][0] == "ۀ ی «x» 1"
+
+
 def test_bibtex(spark):
     text = '@Article{k1,\n  author = {A, B and C},\n  title = {{The X}},\n  year = "2001",\n  volume = 3\n}\n@book{k2,\n  title = {کتاب}\n}\n@x{open'
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string")
