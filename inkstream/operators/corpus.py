@@ -144,12 +144,26 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(at), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))).alias("r")).select("r.*")
 
 
-def collision_names(df: DataFrame, path: str) -> DataFrame:
-    """Target name of every file; the second file of a name gets _1 and so on, in the order of paths."""
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
-    n = F.row_number().over(W.partitionBy("name").orderBy(path)) - 1
-    stem, ext = F.regexp_replace("name", r"\.[A-Za-z0-9]+$", ""), F.regexp_extract("name", r"(\.[A-Za-z0-9]+)$", 1)
-    return df.withColumn("name", name).withColumn("target", F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)))
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, width: int = 100_000) -> DataFrame:
+    """``df`` with ``name``: the number, from 0, of each row among those of its ``keys`` in the order of the integer column ``order``, which is unique.
+
+    No task orders a whole key: rows are numbered within stretches of ``width``
+    values, and the sizes of stretches, of which there are few, give each one's
+    start.
+    """
+    df = df.withColumn("__stretch", F.floor(F.col(order) / width))
+    sizes = df.groupBy(*keys, "__stretch").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(W.partitionBy(*keys, "__stretch").orderBy(order)) - 1
+    return df.withColumn("__within", within).join(starts, [*keys, "__stretch"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__stretch", "__start", "__within")
+
+
+def collision_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """``df`` with ``target``: the second file of a name gets _1 and so on, in the order of the integer column ``order``."""
+    stem, ext = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1)
+    out = numbered(df, [name], order, "__number")
+    return out.withColumn("target", F.when(F.col("__number") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("__number").cast("string"), ext))).drop("__number")
 
 
 def deploy_path(framework: str, slug: Column) -> Column:

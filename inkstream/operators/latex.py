@@ -81,16 +81,35 @@ def _group(text: str, at: int, opening: str, closing: str) -> int:
     return -1
 
 
-def _arguments(text: str, at: int, most: int) -> tuple[list[str], list[str], int]:
+class _Pairs:
+    """Positions behind the groups of one text, found in one scan for each kind of bracket: what :func:`_group` gives, however many openings are never closed."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def end(self, at: int, opening: str, closing: str) -> int:
+        if opening not in self.ends:
+            ends, stack = {}, []
+            for m in re.finditer(rf"\\.|[{re.escape(opening + closing)}]", self.text, re.S):
+                if m.group() == opening:
+                    stack.append(m.start())
+                elif m.group() == closing and stack:
+                    ends[stack.pop()] = m.end()
+            self.ends[opening] = ends
+        return self.ends[opening].get(at, -1)
+
+
+def _arguments(text: str, at: int, most: int, pairs: _Pairs) -> tuple[list[str], list[str], int]:
     args, opts = [], []
     while at < len(text):
         if text[at] == "[" and not args:
-            end = _group(text, at, "[", "]")
+            end = pairs.end(at, "[", "]")
             if end < 0 or "\n\n" in text[at:end]:
                 break
             opts.append(text[at + 1 : end - 1])
         elif text[at] == "{" and len(args) < most:
-            end = _group(text, at, "{", "}")
+            end = pairs.end(at, "{", "}")
             if end < 0:
                 break
             args.append(text[at + 1 : end - 1])
@@ -105,7 +124,7 @@ def parse(text: str | None) -> Node:
     root = Node("root")
     stack = [root]
     text = text or ""
-    at = 0
+    at, pairs = 0, _Pairs(text)
 
     def add_text(value: str) -> None:
         if value:
@@ -121,9 +140,9 @@ def parse(text: str | None) -> Node:
         if m.group(1) is not None:
             name = m.group(1)
             node = Node("environment", name.rstrip("*"), name.endswith("*"))
-            node.args, node.opts, at = _arguments(text, at, ENVIRONMENT_ARITY.get(name, 0))
+            node.args, node.opts, at = _arguments(text, at, ENVIRONMENT_ARITY.get(name, 0), pairs)
             if name.rstrip("*") in BOXES and not node.opts:
-                node.args, more, at = _arguments(text, at, 2)
+                node.args, more, at = _arguments(text, at, 2, pairs)
                 node.opts += more
             stack[-1].children.append(node)
             if name in RAW:
@@ -141,7 +160,7 @@ def parse(text: str | None) -> Node:
                 add_text(token)
         elif m.group(3):
             node = Node("command", m.group(3), bool(m.group(4)))
-            node.args, node.opts, at = _arguments(text, at, ARITY.get(m.group(3), 9))
+            node.args, node.opts, at = _arguments(text, at, ARITY.get(m.group(3), 9), pairs)
             stack[-1].children.append(node)
         elif token in ("\\[", "\\(", "$$", "$"):
             closing = {"\\[": "\\]", "\\(": "\\)"}.get(token, token)

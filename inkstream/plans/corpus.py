@@ -18,7 +18,7 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document reaches over the tree of its nodes' commands."""
+    """What each document reaches over the tree of its nodes."""
     n = table(spark, sf_dir, "nodes").where("parent_id is not null").select(F.concat_ws(":", "doc_id", "parent_id").alias("src"), F.concat_ws(":", "doc_id", "node_id").alias("dst"))
     return C.reachable(n).groupBy("depth").agg(F.count("*").alias("n_pairs"))
 
@@ -100,11 +100,8 @@ def deploy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of documents copied into one folder."""
-    d = spread(table(spark, sf_dir, "documents")).where("path is not null").select("doc_id", F.regexp_replace("path", "[0-9]+", "").alias("short"), "path")
-    d = d.withColumn("sort_path", F.concat_ws("#", "short", F.lpad(F.col("doc_id").cast("string"), 12, "0")))
-    n = F.row_number().over(W.partitionBy("short").orderBy("sort_path")) - 1
-    stem, ext = F.regexp_replace("short", r"\.[A-Za-z0-9]+$", ""), F.regexp_extract("short", r"(\.[A-Za-z0-9]+)$", 1)
-    return d.select("doc_id", F.when(n == 0, F.col("short")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)).alias("target"))
+    d = table(spark, sf_dir, "documents").where("path is not null").select("doc_id", F.regexp_replace("path", "[0-9]+", "").alias("short"))
+    return C.collision_names(d, "short", "doc_id").select("doc_id", "target")
 
 
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +136,7 @@ def node_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of each document by kind, as columns."""
+    """Nodes of every document by kind: nodes of each document by kind, as columns."""
     n = table(spark, sf_dir, "nodes").select("node_uid", "doc_id", "kind").distinct()
     kinds = ["text", "environment", "command", "math", "comment"]
     return n.groupBy("doc_id").pivot("kind", kinds).agg(F.count(F.lit(1))).fillna(0)

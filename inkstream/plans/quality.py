@@ -22,7 +22,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What chapters keep if their headings lose their marks."""
+    """What chapters keep if their headings lose their marks."""
     return _pairs(spark, sf_dir).select("chapter_id", Q.preserved(F.col("s"), F.col("o")).alias("preserved"), F.round(Q.content_score(F.col("s"), F.col("o")), 4).alias("score"), F.round(Q.content_score(F.col("s"), F.col("o"), False), 4).alias("least_score"))
 
 

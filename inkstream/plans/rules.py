@@ -19,10 +19,10 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def removed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands of nodes that cleaning removes."""
     n = _bodies(spark, sf_dir)
-    before = n.select(F.explode(L.commands(F.col("t"))).alias("command")).groupBy("command").agg(F.count("*").alias("n_before"))
-    after = n.select(F.explode(L.commands(L.clean(F.col("t")))).alias("command")).groupBy("command").agg(F.count("*").alias("n_after"))
-    out = before.join(after, "command", "left").select("command", "n_before", F.coalesce("n_after", F.lit(0)).alias("n_after"))
-    return out.where("n_before > n_after")
+    # one pass: each text gives its commands before and after
+    counted = lambda c, b, a: F.transform(c, lambda x: F.struct(x.alias("command"), F.lit(b).alias("b"), F.lit(a).alias("a")))
+    both = n.select(F.inline(F.concat(counted(L.commands(F.col("t")), 1, 0), counted(L.commands(L.clean(F.col("t"))), 0, 1))))
+    return both.groupBy("command").agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after")).where("n_before > n_after")
 
 
 def cleaned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import tarfile
 import zipfile
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkstream import engine
@@ -30,6 +32,17 @@ def test_latex_never_fails():
     boxes = latex.render(latex.parse(r"\begin{center}" * 3000 + "x" + r"\end{center}" * 3000))
     assert boxes.count("<div") == boxes.count("</div>") == 3000
     assert "x" in latex.render(latex.parse(r"\textbf{" * 500 + "x" + "}" * 500))
+    assert latex.render(latex.parse(r"\emph{" * 50_000)).startswith("**")
+
+
+@given(st.text("{}[]\\\\a", max_size=30))
+def test_ends_of_groups(text):
+    pairs = latex._Pairs(text)
+    starts, i = [], 0
+    while i < len(text):
+        starts += [i] if text[i] in "{[" else []
+        i += 2 if text[i] == "\\" else 1
+    assert all(pairs.end(i, o, c) == latex._group(text, i, o, c) for i in starts for o, c in ("{}", "[]") if text[i] == o)
 
 
 def test_latex_to_mdx():
@@ -173,6 +186,14 @@ def test_inlined(spark):
     assert corpus.inlined(spark.createDataFrame(rows[2:3], "path string, t string"), "path", "t").collect()[0]["t"] == "2"
 
 
+def test_numbered(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(40)], "name string, n bigint")
+    got = {(r["name"], r["n"]): r["at"] for r in corpus.numbered(df, ["name"], "n", "at", width=7).collect()}
+    assert got == {(k, n): i for k in "ab" for i, n in enumerate(x for x in range(40) if ("a" if x % 3 else "b") == k)}
+    names = corpus.collision_names(spark.createDataFrame([("x.png", 2), ("x.png", 1), ("y", 3)], "f string, n bigint"), "f", "n").collect()
+    assert {r["n"]: r["target"] for r in names} == {1: "x.png", 2: "x_1.png", 3: "y"}
+
+
 def test_cross_references(spark):
     rows = [(1, 1, "one", r'\label{eq:a} <CrossRef target="eq-a" /> <CrossRef target="fig-b" type="equation" /> <CrossRef target="no" />'), (1, 2, "two", '<Figure id="fig:b" />'), (2, 1, "other", '<CrossRef target="eq-a" />'), (1, 3, "three", None)]
     out = {r["slug"]: r["t"] for r in corpus.cross_references(spark.createDataFrame(rows, "d int, c int, slug string, t string"), "d", "c", "slug", "t").collect()}
