@@ -74,7 +74,7 @@ _LANG = "CASE WHEN len(regexp_extract_all({t}, '\\p{{L}}')) > 0 AND len(regexp_e
 _FIRST = "trim(split_part(coalesce(author, ''), ' and ', 1))"
 _SHORT = f"coalesce(nullif(CASE WHEN contains({_FIRST}, ',') THEN trim(split_part({_FIRST}, ',', 1)) ELSE list_last(regexp_split_to_array({_FIRST}, '[ \\t\\r\\n]+')) END, ''), '?')"
 SQL = {
-    "bibtex_entries": "SELECT bib_id, 0 AS pos, entry_id, lower(entry_type) AS entry_type, " + ", ".join(f"{_CLEAN.format(c=c)} AS {c}" for c in _COLUMNS) + f", {_LANG.format(t='(' + _CLEAN.format(c='title') + chr(32) + '||' + chr(39) + chr(32) + chr(39) + '||' + chr(32) + _CLEAN.format(c='author') + ')')} AS language FROM bib_entries",
+    "bibtex_entries": "SELECT bib_id, CAST(0 AS BIGINT) AS pos, entry_id, lower(entry_type) AS entry_type, " + ", ".join(f"{_CLEAN.format(c=c)} AS {c}" for c in _COLUMNS) + f", {_LANG.format(t='(' + _CLEAN.format(c='title') + chr(32) + '||' + chr(39) + chr(32) + chr(39) + '||' + chr(32) + _CLEAN.format(c='author') + ')')} AS language FROM bib_entries",
     "references_apa": f"SELECT bib_id, {_apa(_COLUMNS)} AS reference FROM bib_entries",
     "references_ieee": """SELECT bib_id, concat_ws(' ', nullif(author, '') || ',', '"' || nullif(title, '') || '",', '*' || nullif(journal, '') || '*,', 'vol. ' || nullif(volume, '') || ',', 'pp. ' || nullif(pages, '') || ',', nullif(year, '') || '.', nullif(url, '')) AS reference FROM bib_entries""",
     "citation_labels": f"SELECT bib_id, {_SHORT} AS author_short, {_SHORT} || ', ' || coalesce(nullif(year, ''), 'n.d.') AS label FROM bib_entries",

@@ -264,7 +264,7 @@ _BOX = "'<' || component || CASE WHEN kind <> '' THEN ' type=\"' || kind || '\"'
 SQL = {
     "figure_models": r"""WITH b AS (SELECT DISTINCT node_uid, body FROM nodes WHERE name = 'figure' AND body IS NOT NULL),
 f AS (SELECT node_uid, nullif(trim(regexp_extract(body, '\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}', 1)), '') AS src, nullif(trim(regexp_extract(body, '\\caption\{([^{}]*)\}', 1)), '') AS caption, nullif(trim(regexp_extract(body, '\\label\{([^{}]*)\}', 1)), '') AS label FROM b)
-SELECT node_uid, 'figure' AS kind, 0 AS pos, src, caption, label, '<Figure' || CASE WHEN label IS NOT NULL THEN ' id="' || label || '"' ELSE '' END || '>' || chr(10) || '  <Image src="' || coalesce(src, '') || '" alt="' || coalesce(caption, '') || '" />' || chr(10)
+SELECT node_uid, 'figure' AS kind, CAST(0 AS BIGINT) AS pos, src, caption, label, '<Figure' || CASE WHEN label IS NOT NULL THEN ' id="' || label || '"' ELSE '' END || '>' || chr(10) || '  <Image src="' || coalesce(src, '') || '" alt="' || coalesce(caption, '') || '" />' || chr(10)
  || CASE WHEN caption IS NOT NULL THEN '  <figcaption>' || caption || '</figcaption>' || chr(10) ELSE '' END || '</Figure>' AS mdx FROM f""",
     "node_boxes": rf"""WITH n AS (SELECT DISTINCT node_uid, name, nullif(trim(opts[1]), '') AS title, body AS b FROM nodes WHERE body IS NOT NULL AND name IN ('theorem', 'lemma', 'corollary', 'proposition', 'definition', 'example', 'proof', 'remark', 'note', 'warningbox', 'notebox', 'caution', 'important')),
 p AS (SELECT node_uid, title, nullif(regexp_extract(b, '\\label\{{([^{{}}]*)\}}', 1), '') AS label, {_TRIM.format(c="regexp_replace(b, '" + chr(92) * 2 + "label" + chr(92) + "{[^{}]*" + chr(92) + "}', '', 'g')")} AS body,
